@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, packing, pairs, ranking, terms
+from millrace.llm import bpe, packing, pairs, ranking, terms, truncation
 from millrace.sources import load
 
 
@@ -79,4 +79,14 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d), load(spark, d, "pack_profiles"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_scores, p3_found, p3_pairs, p5_found, p5_top, p6_ids, p7_packing, p7_fill)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated_texts(load(spark, d, "documents")).where("truncated").select(F.col("id").alias("doc_id"))
+
+
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates."""
+    docs = load(spark, d, "documents")
+    return truncation.truncation_rates(docs, truncation.truncated_texts(docs))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_scores, p3_found, p3_pairs, p5_found, p5_top, p6_ids, p7_packing, p7_fill, p8_found, p8_sources)}
