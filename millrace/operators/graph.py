@@ -8,6 +8,7 @@ aggregation by neighbour and one join, and hubs are pre-aggregated before the sh
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -47,23 +48,25 @@ def range_partition(nodes: DataFrame, node_count: int, partitions: int) -> DataF
     return nodes.select("id", (F.floor(F.col("id") / F.lit(float(node_count)) * partitions) % partitions).cast("int").alias("part"))
 
 
-def personalized_pagerank(nodes: DataFrame, sources: list[int], iterations: int, alpha: float = ALPHA, checkpoint_every: int = 1) -> DataFrame:
+def personalized_pagerank(nodes: DataFrame, sources: list[int], iterations: int, alpha: float = ALPHA) -> DataFrame:
     """(id, p_0 ... p_k): probability of each node for each source after `iterations` steps.
 
     `sources` is a short list (a column each). A node starts with 1 for its own source, else 0. A step spreads each
     node's mass evenly over its neighbours; what does not arrive (dangling nodes, missing records) goes back to the
-    source together with the jump. The step's totals are one row of k sums, read by the driver as a scalar; every
-    `checkpoint_every` steps the state is written to the shared folder, which cuts the lineage.
+    source together with the jump. The step's totals are one row of k sums, read by the driver. Each step's state is
+    written to the shared folder, which cuts the lineage; the structure is laid out by id once and kept (in memory and
+    on disk), so that no step shuffles adjacency lists, only mass.
     """
     names = [f"p_{i}" for i in range(len(sources))]
-    structure = written(nodes.select("id", "adjacency"))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    structure = written(nodes.select("id", "adjacency")).repartition(parts, "id").persist(StorageLevel.MEMORY_AND_DISK)
+    structure.count()  # the layout is known to later plans only once it is there
     mass = structure.select("id", *[F.when(F.col("id") == s, 1.0).otherwise(0.0).alias(p) for s, p in zip(sources, names, strict=True)])
-    for step in range(1, iterations + 1):
+    for _ in range(iterations):
         share = [(F.col(p) / F.size("adjacency")).alias(p) for p in names]
         sent = structure.join(mass, "id").select(F.explode("adjacency").alias("id"), *share)
         received = sent.groupBy("id").agg(*[F.sum(p).alias(p) for p in names])
-        arrived = structure.select("id").join(received, "id", "left").select("id", *[F.coalesce(p, F.lit(0.0)).alias(p) for p in names])
-        arrived = written(arrived)
+        arrived = written(structure.select("id").join(received, "id", "left").select("id", *[F.coalesce(p, F.lit(0.0)).alias(p) for p in names]))
         totals = arrived.agg(*[F.coalesce(F.sum(p), F.lit(0.0)).alias(p) for p in names]).first()
         mass = arrived.select(
             "id",
@@ -72,8 +75,8 @@ def personalized_pagerank(nodes: DataFrame, sources: list[int], iterations: int,
                 for s, p in zip(sources, names, strict=True)
             ],
         )
-        if checkpoint_every > 1 and step % checkpoint_every == 0:
-            mass = written(mass)
+    if iterations:
+        structure.unpersist()
     return mass
 
 

@@ -31,9 +31,9 @@ def shipdate_count(lineitem: DataFrame, day: str) -> DataFrame:
     return _run(sql.Q1, {"day": day}, lineitem=lineitem)
 
 
-def clerks(lineitem: DataFrame, orders: DataFrame, day: str) -> DataFrame:
+def clerks(lineitem: DataFrame, orders: DataFrame, day: str, clerk: str = "o_orderpriority") -> DataFrame:
     """(clerk, o_orderkey): the first 20 by order key, one row per line item shipped on the day."""
-    return _run(sql.Q2, {"day": day}, lineitem=lineitem, orders=orders)
+    return _run(sql.Q2, {"day": day, "clerk": clerk}, lineitem=lineitem, orders=orders)
 
 
 def parts_and_suppliers(lineitem: DataFrame, part: DataFrame, supplier: DataFrame, day: str) -> DataFrame:
@@ -56,6 +56,6 @@ def pricing_summary(lineitem: DataFrame, day: str) -> DataFrame:
     return _run(sql.Q6, {"day": day}, lineitem=lineitem)
 
 
-def shipping_priority(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, day: str) -> DataFrame:
+def shipping_priority(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, day: str, priority: str = "o_orderpriority") -> DataFrame:
     """The ten orders of highest revenue placed before and shipped after the day (both strict)."""
-    return _run(sql.Q7, {"day": day}, customer=customer, orders=orders, lineitem=lineitem)
+    return _run(sql.Q7, {"day": day, "priority": priority}, customer=customer, orders=orders, lineitem=lineitem)

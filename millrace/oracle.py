@@ -58,7 +58,7 @@ ORACLE: dict[str, str] = {
     "q6_pricing_summary": f"""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 6) AS sum_qty, round(sum(l_extendedprice), 6) AS sum_base_price, round(sum(l_extendedprice * (1 - l_discount)), 6) AS sum_disc_price,
 round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 6) AS sum_charge, round(avg(l_quantity), 6) AS avg_qty, round(avg(l_extendedprice), 6) AS avg_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
 FROM lineitem WHERE l_shipdate = TIMESTAMP '{DAY}' GROUP BY 1, 2""",
-    "q7_shipping_priority": f"""SELECT c_name, l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, o_orderdate, o_orderpriority
+    "q7_shipping_priority": f"""SELECT c_name, l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, o_orderdate, o_orderpriority AS o_shippriority
 FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate < TIMESTAMP '{CUT}' AND l_shipdate > TIMESTAMP '{CUT}'
 GROUP BY c_name, l_orderkey, o_orderdate, o_orderpriority ORDER BY revenue DESC, l_orderkey, c_name LIMIT 10""",
     "tok_count": f"WITH {TOKS} SELECT doc_id, line_no::INTEGER AS line_no, len(t)::BIGINT AS n_tokens FROM toks",

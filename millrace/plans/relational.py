@@ -1,12 +1,12 @@
 """Texts of the relational queries. {name} stands for an input DataFrame, :name for a parameter.
 
-Filters are on raw columns, so they reach the Parquet scan; join strategy and order are left to the optimizer.
+Columns named by a parameter go through IDENTIFIER. Filters are on raw columns, so they reach the Parquet scan; join strategy and order are left to the optimizer.
 """
 
 Q1 = "SELECT count(*) AS n FROM {lineitem} WHERE l_shipdate = CAST(:day AS TIMESTAMP_NTZ)"
 
 Q2 = """
-SELECT o.o_orderpriority AS clerk, o.o_orderkey
+SELECT IDENTIFIER(:clerk) AS clerk, o.o_orderkey
 FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey
 WHERE l.l_shipdate = CAST(:day AS TIMESTAMP_NTZ)
 ORDER BY o.o_orderkey, clerk LIMIT 20"""
@@ -40,8 +40,8 @@ FROM {lineitem} WHERE l_shipdate = CAST(:day AS TIMESTAMP_NTZ)
 GROUP BY l_returnflag, l_linestatus"""
 
 Q7 = """
-SELECT c.c_name, l.l_orderkey, sum(l.l_extendedprice * (1 - l.l_discount)) AS revenue, o.o_orderdate, o.o_orderpriority
+SELECT c.c_name, l.l_orderkey, sum(l.l_extendedprice * (1 - l.l_discount)) AS revenue, o.o_orderdate, IDENTIFIER(:priority) AS o_shippriority
 FROM {customer} c JOIN {orders} o ON c.c_custkey = o.o_custkey JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey
 WHERE o.o_orderdate < CAST(:day AS TIMESTAMP_NTZ) AND l.l_shipdate > CAST(:day AS TIMESTAMP_NTZ)
-GROUP BY c.c_name, l.l_orderkey, o.o_orderdate, o.o_orderpriority
+GROUP BY c.c_name, l.l_orderkey, o.o_orderdate, o_shippriority
 ORDER BY revenue DESC, l.l_orderkey, c.c_name LIMIT 10"""

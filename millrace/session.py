@@ -46,26 +46,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
-def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """Write `df` as a Parquet table into the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and lets several consumers read only their columns.
-    The table is deleted when the application ends.
+    The table is deleted when the application's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/millrace-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd").mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    atexit.register(remove, spark, path)
+    df.write.option("compression", "zstd").mode("overwrite").parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder through the file system that its path names; does nothing after the session stopped."""
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001 - the gateway is gone at interpreter exit
-        if path.startswith("file:"):
-            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)

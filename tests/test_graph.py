@@ -14,7 +14,7 @@ def nodes(spark):
     [(1, 1, {1: 0.15, 2: 0.85, 3: 0.0}), (1, 2, {1: 0.8725, 2: 0.1275, 3: 0.0}), (3, 1, {1: 0.283333, 2: 0.283333, 3: 0.433333}), (3, 2, {1: 0.122778, 2: 0.363611, 3: 0.513611})],
 )
 def test_pagerank(spark, source, steps, want):
-    mass = G.personalized_pagerank(nodes(spark), [source, 2], steps, checkpoint_every=2)
+    mass = G.personalized_pagerank(nodes(spark), [source, 2], steps)
     got = {r["id"]: round(r["p_0"], 6) for r in mass.collect()}
     assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
     assert sum(r["p_1"] for r in mass.collect()) == pytest.approx(1.0)

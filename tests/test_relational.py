@@ -48,3 +48,16 @@ def test_bad_date_and_pushdown(spark, tmp_path):
     plan = R.shipdate_count(spark.read.parquet(f"{tmp_path}/l"), "1996-11-01")._jdf.queryExecution().toString()
     assert "EqualTo(l_shipdate,1996-11-01T00:00)" in plan and "ReadSchema: struct<l_shipdate:timestamp_ntz>" in plan
     assert R.shipdate_count(li.limit(0), "1996-11-01").first()["n"] == 0
+
+
+def test_tbl_layout(spark, tmp_path):
+    """The usual text layout, with dates, a clerk and a ship priority."""
+    from millrace.sources import read_tbl
+
+    (tmp_path / "l.tbl").write_text("1|1|1|1|1|100|0.5|0|N|O|1996-11-02|1996-11-02|1996-11-02|x|y|z|\n")
+    (tmp_path / "o.tbl").write_text("1|7|O|1|1996-10-01|1-U|Clerk#9|3|c|\n")
+    (tmp_path / "c.tbl").write_text("7|Name|a|3|p|1|s|c|\n")
+    li, orders, customer = (read_tbl(spark, f"{tmp_path}/{f}.tbl", t) for f, t in (("l", "lineitem"), ("o", "orders"), ("c", "customer")))
+    assert [tuple(r) for r in R.clerks(li, orders, "1996-11-02", "o_clerk").collect()] == [("Clerk#9", 1)]
+    got = R.shipping_priority(customer, orders, li, "1996-11-01", "o_shippriority").first()
+    assert (got["c_name"], got["revenue"], got["o_shippriority"]) == ("Name", 50.0, 3)
