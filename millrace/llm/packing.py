@@ -18,6 +18,8 @@ from millrace.session import written
 PER_BUCKET, MOST_BUCKETS = 1 << 18, 4096
 #: Histogram rows collected at most: one per length up to the capacity. Larger capacities are refused.
 MOST_CAPACITY = 1 << 17
+#: Ranks within a length stay below 2 to this power.
+RANK_BITS = 45
 
 
 class Runs(NamedTuple):
@@ -113,17 +115,11 @@ def _place(runs: dict[int, Runs]):
             container, slot, offset = (np.zeros(len(rank), np.int64) for _ in range(3))
             for c in np.unique(capacity):
                 own, r = np.flatnonzero(capacity == c), runs[int(c)]
-                starts, firsts = np.unique(r.length, return_index=True)
-                ends = np.append(firsts[1:], len(r.length))
-                order = own[np.argsort(length[own], kind="stable")]
-                lengths, cut = np.unique(length[order], return_index=True)
-                for value, rows in zip(lengths, np.split(order, cut[1:]), strict=True):
-                    k = np.searchsorted(starts, value)
-                    at = firsts[k] + np.searchsorted(r.first[firsts[k] : ends[k]], rank[rows], "right") - 1
-                    inside = rank[rows] - r.first[at]
-                    container[rows] = r.base[at] + inside // r.times[at]
-                    slot[rows] = r.slot[at] + inside % r.times[at]
-                    offset[rows] = r.offset[at] + inside % r.times[at] * value
+                at = np.searchsorted(r.length << RANK_BITS | r.first, length[own] << RANK_BITS | rank[own], "right") - 1
+                inside = rank[own] - r.first[at]
+                container[own] = r.base[at] + inside // r.times[at]
+                slot[own] = r.slot[at] + inside % r.times[at]
+                offset[own] = r.offset[at] + inside % r.times[at] * length[own]
             yield pa.RecordBatch.from_arrays(
                 [column["profile"], column["item"], column["part"], pa.array(container), pa.array(slot.astype(np.int32)), pa.array(offset.astype(np.int32)), pa.array(length.astype(np.int32))],
                 names=["profile", "item", "part", "container", "position", "start", "length"],
