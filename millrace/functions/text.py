@@ -30,12 +30,6 @@ def adjacent_pairs(tokens_: Column | str) -> Column:
     return F.arrays_zip(F.slice(col, F.lit(1), n).alias("left"), F.slice(col, F.lit(2), n).alias("right"))
 
 
-def unordered_pairs(items: Column | str) -> Column:
-    """All pairs left < right of the distinct items of one (bounded) array."""
-    col = F.array_sort(F.array_distinct(F.col(items) if isinstance(items, str) else items))
-    return F.flatten(F.transform(col, lambda x: F.transform(F.filter(col, lambda y: y > x), lambda y: F.struct(x.alias("left"), y.alias("right")))))
-
-
 def truncated(text: Column | str, width: int = 80) -> Column:
     """A text cut to `width` characters plus `...` where it is longer; null stays null."""
     return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width), F.lit("..."))).otherwise(F.col(text) if isinstance(text, str) else text)

@@ -61,19 +61,15 @@ def personalized_pagerank(nodes: DataFrame, sources: list[int], iterations: int,
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     structure = written(nodes.select("id", "adjacency")).repartition(parts, "id").persist(StorageLevel.MEMORY_AND_DISK)
     structure.count()  # the layout is known to later plans only once it is there
-    mass = structure.select("id", *[F.when(F.col("id") == s, 1.0).otherwise(0.0).alias(p) for s, p in zip(sources, names, strict=True)])
+    mass = structure.selectExpr("id", *[f"CASE WHEN id = {int(s)} THEN 1.0D ELSE 0.0D END AS {p}" for s, p in zip(sources, names, strict=True)])
     for _ in range(iterations):
-        share = [(F.col(p) / F.size("adjacency")).alias(p) for p in names]
-        sent = structure.join(mass, "id").select(F.explode("adjacency").alias("id"), *share)
-        received = sent.groupBy("id").agg(*[F.sum(p).alias(p) for p in names])
-        arrived = written(structure.select("id").join(received, "id", "left").select("id", *[F.coalesce(p, F.lit(0.0)).alias(p) for p in names]))
-        totals = arrived.agg(*[F.coalesce(F.sum(p), F.lit(0.0)).alias(p) for p in names]).first()
-        mass = arrived.select(
-            "id",
-            *[
-                ((1 - alpha) * (F.col(p) + F.when(F.col("id") == s, max(0.0, 1.0 - totals[p])).otherwise(0.0)) + F.when(F.col("id") == s, alpha).otherwise(0.0)).alias(p)
-                for s, p in zip(sources, names, strict=True)
-            ],
+        sent = structure.join(mass, "id").selectExpr("explode(adjacency) AS id", *[f"{p} / size(adjacency) AS {p}" for p in names])
+        received = sent.groupBy("id").agg(*[F.expr(f"sum({p}) AS {p}") for p in names])
+        arrived = written(structure.select("id").join(received, "id", "left").selectExpr("id", *[f"coalesce({p}, 0.0D) AS {p}" for p in names]))
+        totals = arrived.selectExpr(*[f"coalesce(sum({p}), 0.0D) AS {p}" for p in names]).first()
+        lost = {p: max(0.0, 1.0 - totals[p]) for p in names}
+        mass = arrived.selectExpr(
+            "id", *[f"{1 - alpha!r}D * ({p} + CASE WHEN id = {int(s)} THEN {lost[p]!r}D ELSE 0.0D END) + CASE WHEN id = {int(s)} THEN {alpha!r}D ELSE 0.0D END AS {p}" for s, p in zip(sources, names, strict=True)]
         )
     if iterations:
         structure.unpersist()

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from millrace.functions.logmath import signless_zero
+from millrace.session import written
 
 DELTA = 0.002
 
@@ -102,7 +103,7 @@ def one_minus_roca(scored: DataFrame) -> DataFrame:
     """
     by_score = scored.where("score is not null").groupBy("score").agg(F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).alias("pos"), F.count("*").alias("n"))
     blocks = by_score.repartitionByRange("score").withColumn("block", F.spark_partition_id())
-    blocks = blocks.select("score", "block", "pos", (F.col("n") - F.col("pos")).alias("neg")).persist()
+    blocks = written(blocks.select("score", "block", "pos", (F.col("n") - F.col("pos")).alias("neg")))
     per = blocks.groupBy("block").agg(F.sum("neg").alias("b"))
     before = per.withColumn("before", F.coalesce(F.sum("b").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("block", "before")
     inner = F.coalesce(F.sum("neg").over(W.partitionBy("block").orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

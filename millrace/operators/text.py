@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from millrace.functions.text import adjacent_pairs, head_terms, tokens, unordered_pairs
+from millrace.functions.text import adjacent_pairs, head_terms, tokens
 
 
 def token_counts(lines: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -58,7 +58,8 @@ def pmi_pairs(lines: DataFrame, text: str, cap: int | None = 40, threshold: int
     heads = lines.select(head_terms(tokens(text), cap).alias("t"))
     word = heads.select(F.explode("t").alias("word")).groupBy("word").agg(F.count("*").alias("c"))
     total = lines.agg(F.count("*").alias("N")).scalar()
-    pairs = heads.select(F.inline(unordered_pairs("t"))).groupBy("left", "right").agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
+    first = heads.select(F.array_sort("t").alias("t")).select("t", F.posexplode("t").alias("i", "left"))
+    pairs = first.select("left", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("right")).groupBy("left", "right").agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
     scored = (
         pairs.join(word.select(F.col("word").alias("left"), F.col("c").alias("cl")), "left")
         .join(word.select(F.col("word").alias("right"), F.col("c").alias("cr")), "right")

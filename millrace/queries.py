@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions.text import tokens
 from millrace.operators import graph, index, learn, relational, skew
 from millrace.operators import text as words
+from millrace.session import spread
 from millrace.sources import document_lines, load
 
 DAY, CUT = "1996-11-01", "1998-01-01"
@@ -56,8 +57,12 @@ def q7(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(relational.shipping_priority(*_tables(spark, d, "customer", "orders", "lineitem"), CUT), 4, "revenue")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(load(spark, d, "documents").select("doc_id", "text"))
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return document_lines(load(spark, d, "documents"))
+    return document_lines(_texts(spark, d))
 
 
 def tok_count(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +119,7 @@ def pmi_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
-    return index.postings(load(spark, d, "documents"), "doc_id", "text")
+    return index.postings(_texts(spark, d), "doc_id", "text")
 
 
 def index_vocabulary(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +203,8 @@ def ppr_topk(spark: SparkSession, d: str) -> DataFrame:
 def _instances(spark: SparkSession, d: str) -> DataFrame:
     """Mails against all other texts; a token's feature is the first 16 bits of its md5."""
     features = F.transform(tokens("text"), lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int"))
-    return load(spark, d, "documents").select("doc_id", F.when(F.col("source").startswith("mail_"), 1.0).otherwise(0.0).alias("y"), features.alias("features"))
+    docs = spread(load(spark, d, "documents").select("doc_id", "source", "text"))
+    return docs.select("doc_id", F.when(F.col("source").startswith("mail_"), 1.0).otherwise(0.0).alias("y"), features.alias("features"))
 
 
 def _fixed_model(spark: SparkSession) -> DataFrame:

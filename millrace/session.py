@@ -58,3 +58,14 @@ def written(df: DataFrame) -> DataFrame:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """The rows of a scan over at least as many partitions as there are cores.
+
+    A table of one small or unsplittable file would otherwise keep one core busy with all that follows up to the first
+    shuffle. Scans of as many partitions or more, as any large table has, are returned as they are. For plain scans only
+    (selected and filtered): of other plans the number of partitions is known only by running them.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

@@ -52,3 +52,13 @@ def test_streaming_word_count(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {tuple(r) for r in spark.table("running").collect()} == {("x", 3), ("y", 1)}
+
+
+def test_spread(spark, tmp_path):
+    from millrace.session import spread
+
+    spark.range(50).coalesce(1).write.parquet(f"{tmp_path}/one")
+    table = spark.read.parquet(f"{tmp_path}/one")
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(table).rdd.getNumPartitions() == cores and spread(table).count() == 50
+    assert spread(spark.range(0, 50, 1, cores)).rdd.getNumPartitions() == cores
