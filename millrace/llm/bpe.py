@@ -10,6 +10,7 @@ from functools import lru_cache
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Where the vocabulary files lie on the driver.
 TOKENIZERS = "/opt/tokenizers"
@@ -119,7 +120,8 @@ def encode_column(docs: DataFrame, text: str, keep: list[str], tokenizer: str =
     worker builds it once; pieces recur, so nearly all are looked up. Null and empty texts give an empty list (0).
     """
     content = docs.sparkSession.sparkContext.broadcast(_rank_file(tokenizer, folder))
-    kind = docs.select(*keep).schema.simpleString()[len("struct<") : -1]
+    new = T.StructField("n_tokens", T.LongType()) if counts_only else T.StructField("ids", T.ArrayType(T.IntegerType()))
+    kind = T.StructType([*docs.select(*keep).schema.fields, new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(content.value).encode
@@ -128,8 +130,7 @@ def encode_column(docs: DataFrame, text: str, keep: list[str], tokenizer: str =
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = [encode(t) for t in part.column(n).to_pylist()]
-                new = pa.array([len(x) for x in ids], pa.int64()) if counts_only else pa.array(ids, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], new], names=[*keep, "n_tokens" if counts_only else "ids"])
+                made = pa.array([len(x) for x in ids], pa.int64()) if counts_only else pa.array(ids, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], made], names=kind.names)
 
-    new = "n_tokens:bigint" if counts_only else "ids:array<int>"
-    return docs.select(*keep, docs[text].alias("_text")).mapInArrow(run, f"{kind}{',' if keep else ''}{new}")
+    return docs.select(*keep, docs[text].alias("_text")).mapInArrow(run, kind)

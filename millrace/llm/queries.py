@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, packing, pairs, ranking, terms, truncation
+from millrace.session import spread
 from millrace.sources import load
 
 
@@ -61,11 +62,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.encode_column(load(spark, d, "documents"), "text", ["doc_id"])
+    return bpe.encode_column(spread(load(spark, d, "documents").select("doc_id", "text")), "text", ["doc_id"])
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    sizes = bpe.encode_column(load(spark, d, "documents"), "text", ["doc_id"], counts_only=True)
+    sizes = bpe.encode_column(spread(load(spark, d, "documents").select("doc_id", "text")), "text", ["doc_id"], counts_only=True)
     return packing.pack(sizes, load(spark, d, "pack_profiles"), "doc_id", "n_tokens")
 
 
@@ -79,13 +80,17 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d), load(spark, d, "pack_profiles"))
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(load(spark, d, "documents").select("doc_id", "text", "source", "lang"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.truncated_texts(load(spark, d, "documents")).where("truncated").select(F.col("id").alias("doc_id"))
+    return truncation.truncated_texts(_documents(spark, d)).where("truncated").select(F.col("id").alias("doc_id"))
 
 
 def p8_sources(spark: SparkSession, d: str) -> DataFrame:
     """How often each source truncates."""
-    docs = load(spark, d, "documents")
+    docs = _documents(spark, d)
     return truncation.truncation_rates(docs, truncation.truncated_texts(docs))
 
 
