@@ -1,7 +1,9 @@
 import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import ranking as R
 
@@ -37,11 +39,22 @@ def brute(data, k):
     return {(s, n, i + 1) for s, x in groups.items() for i, (_, n) in enumerate(sorted(x)[:k])}
 
 
-@pytest.mark.parametrize(("k", "salts"), [(10, 64), (1, 3), (500, 1)])
-def test_top_equals_brute_force(spark, k, salts):
+def test_float_rank_orders_floats(spark):
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 1 << 32, 4000, dtype=np.uint32).view(np.float32)
+    values = np.concatenate([values[np.isfinite(values)], np.float32([0, -0.0, 1, -1, 2, 1.9999999, 2**-126, 2**-149, 3.4028235e38, -3.4028235e38, 1e-40])])
+    df = spark.createDataFrame([(float(v),) for v in values], "x float").select("x", R._float_rank(F.col("x")).alias("r"))
+    got = df.orderBy("r").collect()
+    assert all(a["x"] <= b["x"] and (a["r"] < b["r"]) == (a["x"] < b["x"]) for a, b in zip(got, got[1:], strict=False))
+    assert all(0 < r["r"] < 1 << 32 for r in got)
+
+
+@pytest.mark.parametrize(("k", "salts", "cast"), [(10, 64, "float"), (1, 3, "float"), (500, 1, "double")])
+def test_top_equals_brute_force(spark, k, salts, cast):
     data = rows()
-    df = R.latest_scores(spark.createDataFrame(data, SCHEMA).repartition(5), "source", "nodeid", "iteration", "logp")
-    assert {(r["group"], r["item"], r["rank"]) for r in R.top_n(df, k, salts).collect()} == brute([(s, n, i, None if p is None else math.fsum([float(__import__("numpy").float32(p))]), *_) for s, n, i, p, *_ in data], k)
+    table = spark.createDataFrame(data, SCHEMA).withColumn("logp", F.col("logp").cast(cast)).repartition(5)
+    df = R.latest_scores(table, "source", "nodeid", "iteration", "logp")
+    assert {(r["group"], r["item"], r["rank"]) for r in R.top_n(df, k, salts).collect()} == brute([(s, n, i, None if p is None else float(np.float32(p)), *_) for s, n, i, p, *_ in data], k)
 
 
 def test_prunes_before_shuffle_and_empty(spark):
