@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from millrace.functions.logmath import signless_zero
-from millrace.session import written
+from millrace.session import ship, written
 
 DELTA = 0.002
 
@@ -63,6 +63,7 @@ def sgd_train(instances: DataFrame, order: list[str], model: str | None = None,
         if any_row and weights:
             yield out()
 
+    ship(instances.sparkSession)
     return spread.sortWithinPartitions("model_id", *keys).select("model_id", "y", "features").mapInPandas(train, "model_id long, feature int, weight double")
 
 

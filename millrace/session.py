@@ -6,9 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session with the settings the library is tested under; `conf` keys use `_` for `.`."""
@@ -69,3 +73,21 @@ def spread(table: DataFrame) -> DataFrame:
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
     return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that they need no installation of it.
+
+    Called by every operator that runs Python in workers. A package that came as an archive was sent along already.
+    """
+    context, package = spark.sparkContext, Path(__file__).parent
+    if context.applicationId in _shipped or not package.is_dir():
+        return
+    folder = tempfile.mkdtemp(prefix="millrace-code-")  # on the driver only, which serves it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
