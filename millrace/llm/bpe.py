@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from millrace.session import ship
+
 #: Where the vocabulary files lie on the driver.
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the public pattern that cuts a text into pieces before merging, valid for the byte-level rank files.
@@ -119,6 +121,7 @@ def encode_column(docs: DataFrame, text: str, keep: list[str], tokenizer: str =
     One pass without a shuffle. The vocabulary (under 1 MB, a fixed size) is read by the driver and broadcast, each
     worker builds it once; pieces recur, so nearly all are looked up. Null and empty texts give an empty list (0).
     """
+    ship(docs.sparkSession)
     content = docs.sparkSession.sparkContext.broadcast(_rank_file(tokenizer, folder))
     new = T.StructField("n_tokens", T.LongType()) if counts_only else T.StructField("ids", T.ArrayType(T.IntegerType()))
     kind = T.StructType([*docs.select(*keep).schema.fields, new])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from millrace.session import written
+from millrace.session import ship, written
 
 #: Pieces per rank bucket aimed at, and the most buckets.
 PER_BUCKET, MOST_BUCKETS = 1 << 18, 4096
@@ -143,6 +143,7 @@ def pack(items: DataFrame, profiles: DataFrame, item: str, size: str) -> DataFra
     kinds = [(r["profile"], r["capacity"]) for r in profiles.select("profile", F.col("capacity").cast("long").alias("capacity")).distinct().collect() if r["capacity"] and r["capacity"] > 0]
     if any(c > MOST_CAPACITY for _, c in kinds):
         raise ValueError(f"capacities over {MOST_CAPACITY} are not provided for")
+    ship(items.sparkSession)
     sizes = written(items.select(F.col(item).alias("item"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size")))
     each = sizes.withColumn("k", F.explode(F.array(*[F.struct(F.lit(p).cast("string").alias("profile"), F.lit(c).alias("capacity")) for p, c in kinds]) if kinds else F.expr("cast(array() as array<struct<profile:string,capacity:bigint>>)"))).select("k.profile", "k.capacity", "item", "size")
     parts = F.when(F.col("size") > 0, F.ceil(F.col("size") / F.col("capacity")))

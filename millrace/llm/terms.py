@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from millrace.functions.text import tokens
-from millrace.session import written
+from millrace.session import ship, written
 
 #: At most so many terms are treated as heavy; also the size bound of everything that is broadcast for them.
 HEAVY = 512
@@ -102,6 +102,7 @@ def term_frequencies(collection: Collection) -> DataFrame:
     task; only the rest is shuffled, counted per batch beforehand. Both tables are then united. An empty collection
     gives no rows.
     """
+    ship(collection.records.sparkSession)
     parts = collection.records.select("terms").mapInArrow(_split_counter(collection.heavy), "term string, n long, df long, heavy boolean")
     total = [F.sum("n").alias("n"), F.sum("df").alias("df")]
     light = parts.where("not heavy").groupBy("term").agg(*total).withColumn("heavy", F.lit(False))
