@@ -68,9 +68,9 @@ GROUP BY c_name, l_orderkey, o_orderdate, o_orderpriority ORDER BY revenue DESC,
     "follower_count": f"{BIGRAMS} SELECT \"right\" AS word, n FROM bi WHERE \"left\" = 'the' AND n > 1",
     "line_df": f"WITH {HEADS} SELECT word, c AS n FROM df UNION ALL SELECT '*', total FROM total",
     "bigram_pairs": f"{BIGRAMS} SELECT \"left\", \"right\", round(value, 9) AS value FROM ratio UNION ALL SELECT \"left\", '*', sum(n)::DOUBLE FROM bi GROUP BY 1",
-    "bigram_stripes": f"{BIGRAMS} SELECT \"left\", string_agg(\"right\" || '=' || printf('%.6f', value), ',' ORDER BY \"right\") AS stripe FROM ratio GROUP BY 1",
+    "bigram_stripes": f"{BIGRAMS} SELECT \"left\", string_agg(\"right\" || '=' || floor(value * 1e6 + 0.5)::BIGINT, ',' ORDER BY \"right\") AS stripe FROM ratio GROUP BY 1",
     "pmi_pairs": f"{PMI} SELECT \"left\", \"right\", round(pmi, 6) AS pmi, n FROM pmi",
-    "pmi_stripes": f"{PMI} SELECT \"left\", string_agg(\"right\" || '=' || printf('%.6f', pmi) || '/' || n, ',' ORDER BY \"right\") AS stripe FROM pmi GROUP BY 1",
+    "pmi_stripes": f"{PMI} SELECT \"left\", string_agg(\"right\" || '=' || floor(pmi * 1e6 + 0.5)::BIGINT || '/' || n, ',' ORDER BY \"right\") AS stripe FROM pmi GROUP BY 1",
     "pmi_topk": f"{PMI}, ranked AS (SELECT \"left\", \"right\", round(pmi, 6) AS pmi, n, row_number() OVER (PARTITION BY \"left\" ORDER BY round(pmi, 9) DESC, \"right\")::INTEGER AS rank FROM pmi) SELECT * FROM ranked WHERE rank <= 3",
     "index_vocabulary": f"WITH {POSTINGS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM posts GROUP BY term",
     "index_build": f"WITH {POSTINGS} SELECT term, doc_id // 65536 AS block, count(*) AS df, string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id) AS postings FROM posts GROUP BY 1, 2",

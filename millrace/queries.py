@@ -97,8 +97,13 @@ def _printed(stripe: str, value: Callable) -> F.Column:
     return F.concat_ws(",", F.transform(F.map_entries(stripe), lambda e: F.concat(e["key"], F.lit("="), value(e["value"]))))
 
 
+def _millionths(x: F.Column) -> F.Column:
+    """x in whole millionths, halves up: engines disagree on the last digit of printed decimals."""
+    return F.floor(x * 1e6 + 0.5).cast("string")
+
+
 def bigram_stripes(spark: SparkSession, d: str) -> DataFrame:
-    printed = _printed("stripe", lambda v: F.format_string("%.6f", v))
+    printed = _printed("stripe", _millionths)
     return words.bigram_stripes(_lines(spark, d), "line").select("left", printed.alias("stripe"))
 
 
@@ -111,7 +116,7 @@ def pmi_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pmi_stripes(spark: SparkSession, d: str) -> DataFrame:
-    return words.pmi_stripes(_pmi(spark, d)).select("left", _printed("stripe", lambda v: F.concat(F.format_string("%.6f", v["pmi"]), F.lit("/"), v["n"].cast("string"))).alias("stripe"))
+    return words.pmi_stripes(_pmi(spark, d)).select("left", _printed("stripe", lambda v: F.concat(_millionths(v["pmi"]), F.lit("/"), v["n"].cast("string"))).alias("stripe"))
 
 
 def pmi_topk(spark: SparkSession, d: str) -> DataFrame:
