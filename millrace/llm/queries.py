@@ -45,7 +45,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     c = _collection(spark, d)
     least = max(5, -(-c.n // 5000))  # n >= 5 and 5000 n >= N
     found = pairs.pair_counts(c, least=least)
-    return found.where(F.col("n") * F.lit(c.n) >= 20 * F.col("c_a") * F.col("c_b")).select("term_a", "term_b")
+    whole = lambda x: F.col(x).cast("decimal(19,0)")  # noqa: E731 - products of counts may pass 2^63
+    return found.where(whole("n") * F.lit(c.n).cast("decimal(19,0)") >= whole("c_a") * whole("c_b") * F.lit(20).cast("decimal(2,0)")).select("term_a", "term_b")
 
 
 def _top(spark: SparkSession, d: str) -> DataFrame:

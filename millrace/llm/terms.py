@@ -111,10 +111,10 @@ def term_frequencies(collection: Collection) -> DataFrame:
     return parts.where("heavy").groupBy("term").agg(*total).withColumn("heavy", F.lit(True)).unionByName(light)
 
 
-def mark(frequencies: DataFrame, n_records: int, rare: int = 2, common: float = 0.1) -> DataFrame:
-    """The frequencies with a `mark`: `rare` up to `rare` records, else `common` from the share `common` of all
-    records on, else null."""
-    return frequencies.withColumn("mark", F.when(F.col("df") <= rare, "rare").when(F.col("df") >= F.lit(common) * n_records, "common"))
+def mark(frequencies: DataFrame, n_records: int, rare: int = 2, one_in: int = 10) -> DataFrame:
+    """The frequencies with a `mark`: `rare` up to `rare` records, else `common` where at least one in `one_in` of all
+    records holds the term, else null. Whole numbers are compared, so a term right at the bound is marked."""
+    return frequencies.withColumn("mark", F.when(F.col("df") <= rare, "rare").when(one_in * F.col("df") >= n_records, "common"))
 
 
 def record_scores(collection: Collection, least_df: int = 1, alpha: float = 0.75, presence: bool = False) -> DataFrame:

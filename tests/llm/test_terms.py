@@ -76,3 +76,8 @@ def test_empty(spark):
     assert T.record_scores(c).count() == 0 and T.outstanding(T.record_scores(c)).count() == 0
     only = T.collect_heavy(T.records(spark.createDataFrame([(1, None, "", "", 0), (2, " ", "", "", 0)], SCHEMA)))
     assert only.n == 1 and T.term_frequencies(only).count() == 0
+
+
+def test_mark_at_the_bound(spark):
+    df = spark.createDataFrame([("a", 7), ("b", 6), ("c", 2)], "term string, df long")
+    assert {r["term"]: r["mark"] for r in T.mark(df, 70).collect()} == {"a": "common", "b": None, "c": "rare"}
