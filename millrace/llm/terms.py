@@ -99,16 +99,12 @@ def term_frequencies(collection: Collection) -> DataFrame:
     """(term, n, df, heavy): occurrences of every term in the whole collection and the records holding it.
 
     Heavy-light aggregation: heavy terms are counted in exact arrays within each task, which emit one row per term and
-    task; only the rest is shuffled, counted per batch beforehand. Both tables are then united. An empty collection
-    gives no rows.
+    task; only the rest is shuffled, counted per batch beforehand. The tasks emit both tables as one, their union, so a
+    single pass over the records and one aggregation finish it. An empty collection gives no rows.
     """
     ship(collection.records.sparkSession)
     parts = collection.records.select("terms").mapInArrow(_split_counter(collection.heavy), "term string, n long, df long, heavy boolean")
-    total = [F.sum("n").alias("n"), F.sum("df").alias("df")]
-    light = parts.where("not heavy").groupBy("term").agg(*total).withColumn("heavy", F.lit(False))
-    if not collection.heavy:
-        return light
-    return parts.where("heavy").groupBy("term").agg(*total).withColumn("heavy", F.lit(True)).unionByName(light)
+    return parts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"), F.max("heavy").alias("heavy"))
 
 
 def mark(frequencies: DataFrame, n_records: int, rare: int = 2, one_in: int = 10) -> DataFrame:
