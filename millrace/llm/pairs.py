@@ -22,6 +22,10 @@ BLOCK = 16384
 #: A dictionary goes to all workers only up to so many bytes of items (then records are coded without a shuffle), else it
 #: is joined by shuffle, its heavy items by broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Pairs with an item that has no bit column which a block may hold; a record of more is a block of its own.
+PAIRS = 1 << 23
+#: Pairs in one piece of the output.
+SLICE = 1 << 18
 
 
 def _within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +90,25 @@ def block_pairs(items: np.ndarray, sizes: np.ndarray, heavy: int) -> tuple[np.nd
     return tuple(np.concatenate([x[c].astype(np.int64) for x in out]) for c in range(3))
 
 
-def _pair_counter(heavy: int, block: int, names=None):
-    """Counts pairs block by block over lists of ids, or of terms that `names` (a broadcast array) numbers."""
+def record_pairs(items: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs (a, b, 1), a < b, of one record of distinct ids, in slices of at most `most` pairs (or of one id's)."""
+    items = np.sort(items)
+    left = len(items) - 1 - np.arange(len(items))
+    done = np.cumsum(left)
+    k = 0
+    while k < len(items) - 1:
+        stop = max(k + 1, int(np.searchsorted(done, done[k] - left[k] + most, "right")))
+        size = left[k:stop]
+        first = np.repeat(np.arange(k, stop) + 1 - (np.cumsum(size) - size), size)
+        yield np.repeat(items[k:stop], size), items[first + np.arange(len(first))], np.ones(len(first), np.int64)
+        k = stop
+
+
+def _pair_counter(heavy: int, block: int, names=None, most: int = PAIRS):
+    """Counts pairs block by block over lists of ids, or of terms that `names` (a broadcast array) numbers.
+
+    A block ends at `block` records or `most` pairs; the pairs of a record of more go out in slices.
+    """
 
     def ids(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if names is None:
@@ -97,35 +118,45 @@ def _pair_counter(heavy: int, block: int, names=None):
         record = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
         return found.drop_null().to_numpy(zero_copy_only=False).astype(np.int64), np.bincount(record[known], minlength=len(lists))
 
+    def out(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(a), SLICE):
+            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + SLICE].astype(np.int32)), pa.array(b[i : i + SLICE].astype(np.int32)), pa.array(n[i : i + SLICE])], names=["a", "b", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        rows = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            a, b, n = block_pairs(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), heavy)
-            for i in range(0, len(a), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 18)].astype(np.int32)), pa.array(b[i : i + (1 << 18)].astype(np.int32)), pa.array(n[i : i + (1 << 18)])], names=["a", "b", "n"])
-
+        rows = pairs = 0
         for batch in batches:
             for i in range(0, batch.num_rows, block):
-                piece = batch.column(0).slice(i, block)
-                held.append(ids(piece))
-                rows += len(piece)
-                if rows >= block:
-                    yield from flush()
-                    held, rows = [], 0
+                items, sizes = ids(batch.column(0).slice(i, block))
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                rare = np.diff(np.concatenate([[0], np.cumsum(items >= heavy)])[ends])
+                cost = rare * (rare - 1) // 2 + rare * (sizes - rare)
+                done = np.cumsum(cost)
+                k = 0
+                while k < len(sizes):
+                    if cost[k] > most:
+                        for piece in record_pairs(items[ends[k] : ends[k + 1]], SLICE):
+                            yield from out(*piece)
+                        k += 1
+                        continue
+                    stop = int(np.searchsorted(done, done[k] - cost[k] + most - pairs, "right"))
+                    if stop > k:
+                        held.append((items[ends[k] : ends[stop]], sizes[k:stop]))
+                        rows, pairs, k = rows + stop - k, pairs + int(cost[k:stop].sum()), stop
+                    if rows >= block or k < len(sizes):
+                        yield from out(*block_pairs(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), heavy))
+                        held, rows, pairs = [], 0, 0
         if held:
-            yield from flush()
+            yield from out(*block_pairs(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), heavy))
 
     return count
 
 
-def pair_counts(collection: Collection, cap: int | None = 40, least: int = 1, heavy: int = HEAVY, block: int = BLOCK) -> DataFrame:
+def pair_counts(collection: Collection, cap: int | None = None, least: int = 1, heavy: int = HEAVY, block: int = BLOCK) -> DataFrame:
     """(term_a, term_b, n, c_a, c_b, lift): for each two terms of one record, term_a < term_b, the records holding both
     and each, and n * N / (c_a * c_b), for pairs with n >= `least`.
 
-    Only the first `cap` terms of a record are considered (which bounds the pairs of one record), each distinct one
-    once. Terms in fewer than `least` records can be in no such pair and are left out first. The others get ids by
+    All terms of a record are considered, or its first `cap`, each distinct one once. Terms in fewer than `least` records can be in no such pair and are left out first. The others get ids by
     falling count; records of ids are counted block by block as `block_pairs` says, and the blocks' counts summed. A
     record of one term has no pairs; an empty collection gives none.
     """

@@ -11,6 +11,9 @@ from millrace.llm import bpe, packing, pairs, ranking, terms, truncation
 from millrace.session import spread
 from millrace.sources import load
 
+#: Terms of a record that p3_found, and p3_pairs as its SQL has it, consider.
+FIRST = 40
+
 
 def _collection(spark: SparkSession, d: str, heavy: int = terms.HEAVY) -> terms.Collection:
     return terms.collect_heavy(terms.records(load(spark, d, "query_results")), heavy)
@@ -38,13 +41,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every two terms standing among the first 40 of a record: records with both, with each, lift."""
+    return pairs.pair_counts(_collection(spark, d), FIRST).withColumn("lift", F.round("lift", 6))
+
+
+def p3_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every two terms standing in the same record, however long: records with both, with each, lift."""
     return pairs.pair_counts(_collection(spark, d)).withColumn("lift", F.round("lift", 6))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     c = _collection(spark, d)
     least = max(5, -(-c.n // 5000))  # n >= 5 and 5000 n >= N
-    found = pairs.pair_counts(c, least=least)
+    found = pairs.pair_counts(c, FIRST, least)
     whole = lambda x: F.col(x).cast("decimal(19,0)")  # noqa: E731 - products of counts may pass 2^63
     return found.where(whole("n") * F.lit(c.n).cast("decimal(19,0)") >= whole("c_a") * whole("c_b") * F.lit(20).cast("decimal(2,0)")).select("term_a", "term_b")
 
@@ -95,4 +103,4 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_rates(docs, truncation.truncated_texts(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_scores, p3_found, p3_pairs, p5_found, p5_top, p6_ids, p7_packing, p7_fill, p8_found, p8_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_scores, p3_found, p3_pairs, p3_all_pairs, p5_found, p5_top, p6_ids, p7_packing, p7_fill, p8_found, p8_sources)}

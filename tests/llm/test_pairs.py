@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.llm import pairs as P
+from millrace.llm import queries as Q
 from millrace.llm import terms as T
 from tests.llm.test_terms import SCHEMA, rows
 from tests.test_text import reference_tokens
@@ -39,3 +40,32 @@ def test_pairs_equal_brute_force(spark, monkeypatch, heavy, block, least, cap, l
 
 def test_empty(spark):
     assert P.pair_counts(T.collect_heavy(T.records(spark.createDataFrame([], SCHEMA)))).count() == 0
+
+
+def test_all_pairs_of_long_records(spark, tmp_path):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(70)]
+    texts = {1: " ".join(words), 2: " ".join(words[5:60]), 3: f"{words[0]} {words[69]}", 4: " ".join(words[:3] * 30 + words[66:])}
+    spark.createDataFrame([(d, d, t, None) for d, t in texts.items()], "query_id long, docid int, text string, fetched_at timestamp_ntz").write.parquet(f"{tmp_path}/query_results.parquet")
+    sets = [set(reference_tokens(t)) for t in texts.values()]
+    single, both = Counter(t for s in sets for t in s), Counter(p for s in sets for p in combinations(sorted(s), 2))
+    got = {(r["term_a"], r["term_b"]): (r["n"], r["c_a"], r["c_b"], r["lift"]) for r in Q.p3_all_pairs(spark, str(tmp_path)).collect()}
+    assert got == {(a, b): (n, single[a], single[b], pytest.approx(n * 4 / (single[a] * single[b]), abs=1e-6)) for (a, b), n in both.items()}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 40), max_size=20), min_size=1, max_size=40), st.sampled_from([0, 3, 64]), st.sampled_from([0, 1, 10, 60, 1000]), st.sampled_from([1, 5, 100]), st.sampled_from([1, 7, 500]))
+def test_counter_in_bounded_pieces(records, heavy, most, block, size):
+    import pyarrow as pa
+
+    before, P.SLICE = P.SLICE, size
+    try:
+        batches = [pa.RecordBatch.from_arrays([pa.array([list(r) for r in records[i : i + 9]], pa.list_(pa.int64()))], names=["h"]) for i in range(0, len(records), 9)]
+        out = list(P._pair_counter(heavy, block, None, most)(iter(batches)))
+    finally:
+        P.SLICE = before
+    got = Counter()
+    for batch in out:
+        assert batch.num_rows <= size
+        for a, b, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            got[a, b] += n
+    assert got == Counter(p for r in records for p in combinations(sorted(r), 2))
