@@ -25,8 +25,11 @@ SHAPES, CHARS = 6, 10
 KEYS = 2 * (SHAPES + 1) + CHARS
 #: The key that each key extends by one symbol; -1 for roots. Characters hang on the global shape of depth 3.
 PARENT = [-1, *range(SHAPES), -1, *range(SHAPES + 1, 2 * SHAPES + 1), SHAPES + 4, *range(2 * SHAPES + 2, KEYS - 1)]
-#: Contexts kept: those that end at least N / CAPACITY texts (and two). Bounds the model to KEYS * CAPACITY entries.
-CAPACITY = 1 << 17
+#: Contexts kept: those that end so many texts, at every size.
+LEAST = 2
+#: A model of up to KEYS * CAPACITY contexts is broadcast; a larger one stays a table that is joined by key, but for the
+#: contexts that end more than one in HOT texts. Bits of a key by which inner positions are sifted before that join.
+CAPACITY, HOT, SIFT = 1 << 17, 1 << 12, 24
 #: Characters of a text's end that are looked at, characters per block, and most characters of one piece of a text.
 TAIL, BLOCK_CHARS, PIECE = 200, 1 << 19, 1 << 18
 #: Lengths below a limit that still count as cut there (to the last whole word, or stripped), and the stretch to either
@@ -197,6 +200,28 @@ def _find_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "code", "lang", "same", "n", "nb", "stray", "loose")), marked, last, *out], names=["id", "code", "lang", "same", "n", "nb", "stray", "loose", "marked", "last", "keys", "bare"])
 
 
+def _inner_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Positions, np.ndarray]]:
+    """All inner positions of all texts, block by block."""
+    for batch in batches:
+        for part in _blocks(batch, BLOCK_CHARS):
+            rows = batch.slice(part.start, part.stop - part.start)
+            texts, sources, skips = [], [], []
+            for text, code in zip(rows.column("text").to_pylist(), rows.column("code").to_pylist(), strict=True):
+                text = text.rstrip()
+                for i in range(0, len(text), PIECE):  # very long texts in pieces that overlap by what a context needs
+                    texts.append(text[max(0, i - TAIL) : i + PIECE])
+                    sources.append(code)
+                    skips.append(min(i, TAIL))
+            if not texts:
+                continue
+            p = Positions(texts, np.array(sources, np.int64).view(np.uint64))
+            inner = ~p.blank
+            inner[p.last] = False
+            for first, skip in zip(p.first, skips, strict=True):
+                inner[first : first + skip] = False
+            yield p, np.flatnonzero(inner)
+
+
 def _inner_counter(model: np.ndarray):
     """Count the model's contexts at all inner positions of all texts, in one array per task."""
 
@@ -204,36 +229,32 @@ def _inner_counter(model: np.ndarray):
         near = np.zeros(1 << 22, bool)
         near[(model >> np.uint64(42)).astype(np.int64)] = True
         total = np.zeros(len(model), np.int64)
-        for batch in batches:
-            for part in _blocks(batch, BLOCK_CHARS):
-                rows = batch.slice(part.start, part.stop - part.start)
-                texts, sources, skips = [], [], []
-                for text, code in zip(rows.column("text").to_pylist(), rows.column("code").to_pylist(), strict=True):
-                    text = text.rstrip()
-                    for i in range(0, len(text), PIECE):  # very long texts in pieces that overlap by what a context needs
-                        texts.append(text[max(0, i - TAIL) : i + PIECE])
-                        sources.append(code)
-                        skips.append(min(i, TAIL))
-                if not texts:
-                    continue
-                p = Positions(texts, np.array(sources, np.int64).view(np.uint64))
-                inner = ~p.blank
-                inner[p.last] = False
-                for first, skip in zip(p.first, skips, strict=True):
-                    inner[first : first + skip] = False
-                at = np.flatnonzero(inner)
-                for keys in p.keys(at):
-                    keys = keys[near[(keys >> np.uint64(42)).astype(np.int64)]]
-                    found, n = np.unique(keys, return_counts=True)
-                    i = np.minimum(np.searchsorted(model, found), len(model) - 1)
-                    hit = model[i] == found
-                    total[i[hit]] += n[hit]
+        for p, at in _inner_positions(batches):
+            for keys in p.keys(at):
+                keys = keys[near[(keys >> np.uint64(42)).astype(np.int64)]]
+                found, n = np.unique(keys, return_counts=True)
+                i = np.minimum(np.searchsorted(model, found), len(model) - 1)
+                hit = model[i] == found
+                total[i[hit]] += n[hit]
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(model[seen].view(np.int64)), pa.array(total[seen])], names=["key", "n"])
 
     return count
 
 
+def _inner_keys(content):
+    """The contexts at all inner positions of all texts, counted block by block, where their first bits are a model's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = content.value
+        for p, at in _inner_positions(batches):
+            for keys in p.keys(at):
+                found, n = np.unique(keys[near[(keys >> np.uint64(64 - SIFT)).astype(np.int64)]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    return run
+
+
 class Model(NamedTuple):
     """Sorted context keys with how often each stands inside texts, ends whole texts, and is extended differently."""
 
@@ -252,15 +273,18 @@ def log_odds(model: Model, keys: np.ndarray, weight: np.ndarray | None = None) -
     nothing; how much is too little depends on how varied the continuations are. `weight` is what the text itself
     adds to the model and is taken out.
     """
-    at = np.minimum(np.searchsorted(model.keys, keys.view(np.uint64)), max(0, len(model.keys) - 1))
-    own = np.zeros(len(keys)) if weight is None else weight
     if not len(model.keys):
         return np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(model.keys, keys.view(np.uint64)), len(model.keys) - 1)
     known = model.keys[at] == keys.view(np.uint64)
-    inside = np.where(known, model.inside[at], 0).astype(float)
-    ends = np.where(known, np.maximum(model.ends[at] - own[:, None], 0.0), 0.0)
-    kinds = np.where(known, np.maximum(model.kinds[at], 1), 1).astype(float)
-    total = np.zeros(len(keys))
+    return _evidence(np.where(known, model.inside[at], 0), np.where(known, model.ends[at], 0.0), np.where(known, model.kinds[at], 1), weight)
+
+
+def _evidence(inside: np.ndarray, ends: np.ndarray, kinds: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """`log_odds` of what the model has for the contexts (KEYS a row; 0, 0 and 1 where it has none)."""
+    own = np.zeros(len(inside)) if weight is None else weight
+    inside, ends, kinds = inside.astype(float), np.maximum(ends - own[:, None], 0.0), np.maximum(kinds, 1).astype(float)
+    total = np.zeros(len(inside))
     step = lambda e, q, t, r, up: np.clip((e / np.minimum(q, 1) + t * r) / (up + t), 1e-4, 1e4)
     for j in range(SHAPES):
         s, g = j + 1, SHAPES + 2 + j
@@ -274,14 +298,18 @@ def log_odds(model: Model, keys: np.ndarray, weight: np.ndarray | None = None) -
     return np.clip(total, -30, 30)
 
 
-def _whole(model: Model, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list]:
-    """The chance that each text is whole, its keys, and its group (source, language; none where the length decides the rate)."""
+def _whole(model: Model, batch: pa.RecordBatch) -> tuple[np.ndarray, list, np.ndarray]:
+    """The chance that each text is whole, its group (source, language; none where the length decides the rate), and its keys."""
     keys = batch.column("keys").flatten().to_numpy().reshape(-1, KEYS)
+    return *_chance(log_odds(model, keys, batch.column("weight").to_numpy()), model.rates, batch), keys
+
+
+def _chance(odds: np.ndarray, rates: dict[tuple[int, str], float], batch: pa.RecordBatch) -> tuple[np.ndarray, list]:
+    """The chance that each text is whole, and its group."""
     given = batch.column("rate").to_numpy(zero_copy_only=False)
     groups = [(c, g) if r != r else None for c, g, r in zip(batch.column("code").to_pylist(), batch.column("lang").to_pylist(), given, strict=True)]
-    rate = np.array([r if g is None else model.rates.get(g, RATE if model.rates else DOUBT) for g, r in zip(groups, given, strict=True)])
-    odds = log_odds(model, keys, batch.column("weight").to_numpy()) + np.log((1 - rate) / rate)
-    return 1 / (1 + np.exp(-odds)), keys, groups
+    rate = np.array([r if g is None else rates.get(g, RATE if rates else DOUBT) for g, r in zip(groups, given, strict=True)])
+    return 1 / (1 + np.exp(-(odds + np.log((1 - rate) / rate)))), groups
 
 
 def _reestimate(content):
@@ -292,7 +320,7 @@ def _reestimate(content):
         ends = np.zeros(len(model.keys))
         rates: dict[tuple, list[float]] = {}
         for batch in batches:
-            whole, keys, groups = _whole(model, batch)
+            whole, groups, keys = _whole(model, batch)
             at = np.minimum(np.searchsorted(model.keys, keys.view(np.uint64)), max(0, len(model.keys) - 1))
             known = model.keys[at] == keys.view(np.uint64) if len(model.keys) else np.zeros(keys.shape, bool)
             ends += np.bincount(at[known], weights=np.broadcast_to(whole[:, None], keys.shape)[known], minlength=len(ends))
@@ -325,6 +353,66 @@ def _score(content):
     return run
 
 
+def _weigh(rates: dict[tuple[int, str], float]):
+    """The chance that each text is whole, by what `_looked_up` found of its contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = batch.column("known")
+            row, flat = pc.list_parent_indices(known).to_numpy(), known.flatten()
+            at = row, flat.field("at").to_numpy()
+            facts = [np.full((batch.num_rows, KEYS), x) for x in (0.0, 0.0, 1.0)]
+            for values, name in zip(facts, ("inside", "ends", "kinds"), strict=True):
+                values[at] = flat.field(name).to_numpy()
+            whole, groups = _chance(_evidence(*facts, batch.column("weight").to_numpy()), rates, batch)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "code", "lang", "same", "keys")), pa.array([g is not None for g in groups]), pa.array(whole)], names=["id", "code", "lang", "same", "keys", "free", "whole"])
+
+    return run
+
+
+def _looked_up(texts: DataFrame, table: DataFrame, hot: int) -> DataFrame:
+    """The texts with `known`: (at, inside, ends, kinds) of those of their contexts that the table has.
+
+    Contexts that end at least `hot` texts are joined by broadcast, so no key has many rows in the shuffle.
+    """
+    is_hot, facts = F.col("n") >= hot, F.struct("inside", "ends", "kinds").alias("f")
+    each = texts.select("row", F.posexplode("keys").alias("at", "key")).join(F.broadcast(table.where(is_hot).select("key", facts)), "key", "left")
+    rest = each.where("f is null").drop("f").join(table.where(~is_hot).select("key", facts), "key")
+    found = each.where("f is not null").unionByName(rest)
+    known = found.groupBy("row").agg(F.collect_list(F.struct(F.col("at"), F.col("f.inside"), F.col("f.ends"), F.col("f.kinds"))).alias("known"))
+    return texts.join(known, "row", "left")
+
+
+def _rates(per: list[tuple[int, str, float, float]]) -> dict[tuple[int, str], float]:
+    """The rate of each group (source, language), of the sum of its chances to be cut and its number of texts."""
+    total: dict[int, list[float]] = {}
+    for c, _, x, n in per:
+        t = total.setdefault(c, [RATE * RATE_WEIGHT, RATE_WEIGHT])
+        t[0] += x
+        t[1] += n
+    return {(c, g): min(max((x + RATE_WEIGHT * total[c][0] / total[c][1]) / (n + RATE_WEIGHT), 0.002), 0.9) for c, g, x, n in per}
+
+
+def _scored_by_table(base: DataFrame, train: DataFrame, ends: DataFrame, table: DataFrame, start: Column, hot: int, kind: str) -> DataFrame:
+    """(id, same, whole) with the model (key, n, w, kinds) as a table: the same as with a broadcast one, by joins."""
+    spark = base.sparkSession
+    first = table.select(F.shiftrightunsigned("key", 64 - SIFT).cast("int").alias("first")).distinct().toArrow().column("first").to_numpy()
+    near = np.zeros(1 << SIFT, bool)
+    near[first] = True
+    content = spark.sparkContext.broadcast(near)
+    inner = base.select("code", "text").mapInArrow(_inner_keys(content), "key long, n long").groupBy("key").agg(F.sum("n").alias("inside"))
+    facts = written(table.join(inner, "key", "left").select("key", "n", "w", "kinds", F.coalesce("inside", F.lit(0)).cast("double").alias("inside")))
+    model, rates = facts.withColumn("ends", F.col("w")), {}
+    weigh = lambda texts, weight: written(_looked_up(texts.withColumn("weight", weight), model.withColumn("kinds", F.col("kinds").cast("double")), hot).mapInArrow(_weigh(rates), f"id {kind}, code long, lang string, same string, keys array<long>, free boolean, whole double"))
+    for step in range(ROUNDS):
+        weighed = weigh(train, start if step == 0 else F.lit(1.0))
+        sums = weighed.select(F.explode("keys").alias("key"), "whole").groupBy("key").agg(F.sum("whole").alias("ends"))
+        per = weighed.where("free").groupBy("code", "lang").agg(F.sum(1 - F.col("whole")).alias("a"), F.count("*").alias("b")).collect()  # a row a group
+        model = written(facts.join(sums, "key", "left").select("key", "n", "kinds", "inside", F.coalesce("ends", F.lit(0.0)).alias("ends")))
+        rates = _rates([tuple(r) for r in per]) if step >= DOUBTING - 1 else {}
+    return weigh(ends, F.lit(1.0)).select("id", "same", "whole")
+
+
 def limits(ends: DataFrame) -> DataFrame:
     """(code, unit, size, most, rate): the lengths, in characters (unit 0) or bytes (1), at which a source cuts, where
     its lengths show some, and the share of cuts among the texts of each such length.
@@ -367,8 +455,9 @@ def truncated_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     or just shorter, the rate is the excess of such lengths. Copies train the model once. White space, broken characters and, at a limit, a mark of omission behind
     the end don't count. All copies of a text get the verdict cut if one does.
 
-    A null source or language is one of its own. The driver holds the model: at most KEYS * CAPACITY contexts, and a
-    rate for each source and language.
+    A null source or language is one of its own. Contexts that end `LEAST` texts are kept, at every size. The driver
+    holds a rate for each source and language, and a model of at most KEYS * CAPACITY contexts; a larger one stays a
+    table.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -390,7 +479,7 @@ def truncated_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         placed = placed.join(sized(own.select(F.col("most").alias(size), F.lit(True).alias(f"stray_{unit}")).distinct()), size, "left")
     rate = F.when(F.col("stray"), F.when(F.coalesce("stray_0", "stray_1", F.lit(False)), STRAY_RATE)).otherwise(F.coalesce("rate_0", "rate_1"))
     placed = placed.withColumn("rate", rate).withColumn("rate", F.when(F.col("loose") & (F.col("rate") > 0.5), LOOSE * F.col("rate") / (1 + (LOOSE - 1) * F.col("rate"))).otherwise(F.col("rate")))
-    ends = written(placed.select("id", "code", "lang", "same", "last", F.coalesce("rate", F.lit(float("nan"))).alias("rate"), F.when((F.col("rate") > 0.5) & F.col("marked"), F.col("bare")).otherwise(F.col("keys")).alias("keys")))
+    ends = written(placed.select(F.monotonically_increasing_id().alias("row"), "id", "code", "lang", "same", "last", F.coalesce("rate", F.lit(float("nan"))).alias("rate"), F.when((F.col("rate") > 0.5) & F.col("marked"), F.col("bare")).otherwise(F.col("keys")).alias("keys")))
     train = written(ends.dropDuplicates(["code", "last"]))
 
     n_texts = train.count()
@@ -399,7 +488,20 @@ def truncated_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     start = F.when(F.isnan("rate"), 1 - RATE).otherwise(1 - F.col("rate"))
     seen = written(train.select(F.inline(pair), start.alias("w")).groupBy("key").agg(F.max("parent").alias("parent"), F.count("*").alias("n"), F.sum("w").alias("w")))
     kinds = seen.where("parent is not null").groupBy(F.col("parent").alias("key")).agg(F.count("*").alias("kinds"))
-    table = seen.where(F.col("n") >= max(2, n_texts // CAPACITY)).join(kinds, "key", "left").select("key", "w", F.coalesce("kinds", F.lit(0)).alias("kinds")).toArrow()
+    kept = seen.where(F.col("n") >= LEAST)
+    contexts = kept.join(kinds, "key", "left").select("key", "n", "w", F.coalesce("kinds", F.lit(0)).alias("kinds"))
+    if kept.count() > KEYS * CAPACITY:
+        scored = _scored_by_table(base, train, ends, written(contexts), start, n_texts // HOT + 1, id_type)
+    else:
+        scored = _scored_by_broadcast(base, train, ends, contexts, start, id_type)
+    torn = scored.groupBy("same").agg(F.min("whole").alias("least"), F.max("whole").alias("most")).where("least < 0.5 and most >= 0.5").select("same", F.lit(True).alias("torn"))
+    return scored.join(torn, "same", "left").select("id", "whole", ((F.col("whole") < 0.5) | F.coalesce("torn", F.lit(False))).alias("truncated"))
+
+
+def _scored_by_broadcast(base: DataFrame, train: DataFrame, ends: DataFrame, contexts: DataFrame, start: Column, kind: str) -> DataFrame:
+    """(id, same, whole) with the model (key, n, w, kinds) in the driver and every worker."""
+    spark = base.sparkSession
+    table = contexts.select("key", "w", "kinds").toArrow()
     keys = table.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     model = Model(keys[order], np.zeros(len(keys), np.int64), table.column("w").to_numpy()[order], table.column("kinds").to_numpy()[order], {})
@@ -419,18 +521,10 @@ def truncated_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         whole = np.zeros(len(model.keys))
         whole[np.searchsorted(model.keys, code[~group].view(np.uint64))] = a[~group]
         per = [(int(code[i]), sums.column("lang")[i].as_py(), a[i], b[i]) for i in np.flatnonzero(group)]
-        total: dict[int, list[float]] = {}
-        for c, _, x, n in per:
-            t = total.setdefault(c, [RATE * RATE_WEIGHT, RATE_WEIGHT])
-            t[0] += x
-            t[1] += n
-        rates = {(c, g): min(max((x + RATE_WEIGHT * total[c][0] / total[c][1]) / (n + RATE_WEIGHT), 0.002), 0.9) for c, g, x, n in per}
-        model = model._replace(ends=whole, rates=rates if step >= DOUBTING - 1 else {})
+        model = model._replace(ends=whole, rates=_rates(per) if step >= DOUBTING - 1 else {})
 
     content = spark.sparkContext.broadcast(model)
-    scored = written(ends.withColumn("weight", F.lit(1.0)).mapInArrow(_score(content), f"id {id_type}, same string, whole double"))
-    torn = scored.groupBy("same").agg(F.min("whole").alias("least"), F.max("whole").alias("most")).where("least < 0.5 and most >= 0.5").select("same", F.lit(True).alias("torn"))
-    return scored.join(torn, "same", "left").select("id", "whole", ((F.col("whole") < 0.5) | F.coalesce("torn", F.lit(False))).alias("truncated"))
+    return written(ends.withColumn("weight", F.lit(1.0)).mapInArrow(_score(content), f"id {kind}, same string, whole double"))
 
 
 def truncation_rates(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", source: str = "source") -> DataFrame:

@@ -98,3 +98,14 @@ def test_long_texts_in_pieces(monkeypatch):
 @pytest.mark.parametrize(("text", "end", "bare"), [("Fin.  \n", "Fin.", "Fin."), ("half wo�", "half wo", "half wo"), ("half wo...", "half wo...", "half wo"), ("déjà vu".encode().decode("latin-1"), "déjà vu", "déjà vu"), ("était prê".encode().decode("latin-1")[1:-1], "tait pr", "tait pr"), ("l&#39;été", "l'été", "l'été"), ("the le\u2705dger", "the ledger", "the ledger"), ("fine \U0001f44d", "fine \U0001f44d", "fine \U0001f44d")])
 def test_ending(text, end, bare):
     assert T.ending(text) == (end, bare)
+
+
+def test_small_sources_keep_their_contexts_and_a_model_may_be_a_table(spark, monkeypatch):
+    docs = spark.createDataFrame([r[:4] for r in corpus(3, 400)], "doc_id long, text string, source string, lang string").repartition(4)
+    scores = lambda: {r["id"]: (r["whole"], r["truncated"]) for r in T.truncated_texts(docs).collect()}
+    whole = scores()
+    monkeypatch.setattr(T, "CAPACITY", 8)
+    monkeypatch.setattr(T, "HOT", 16, raising=False)
+    table = scores()
+    assert table.keys() == whole.keys()
+    assert all(t == pytest.approx(whole[i][0], abs=1e-6) and cut == whole[i][1] for i, (t, cut) in table.items())
