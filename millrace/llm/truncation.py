@@ -46,6 +46,9 @@ DOUBT, DOUBTING, ROUNDS = 0.3, 2, 5
 #: Letters and digits at the end by which texts are taken for copies when the model is trained.
 ALIKE = 60
 MARKS = ("...", "\u2026")
+#: White space (as Python has it) and broken characters behind the end of a text.
+_BLANK = r"[\s\x1c-\x1f\x85\p{Z}\x{FFFD}]"
+BEHIND = rf"(?<!{_BLANK}){_BLANK}+\z"
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: Classes of characters; punctuation stands for itself.
 LOWER, UPPER, DIGIT, SPACE, BREAK, LETTER, START, CAPITALS = 1, 2, 3, 4, 5, 6, 7, 15
@@ -466,7 +469,7 @@ def truncated_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(source).cast("string"), F.lit(""))).alias("code"), _language(F.col(lang)).alias("lang"), F.md5(trimmed.cast("binary")).alias("same"), F.length(text).cast("long").alias("n"), F.octet_length(text).cast("long").alias("nb"), F.col(source).isNull().alias("stray"), F.col(text).rlike(r"\s\z").alias("loose"), F.col(text).alias("text")
     )
     id_type = base.schema["id"].dataType.simpleString()
-    tails = base.select("id", "code", "lang", "same", "n", "nb", "stray", "loose", F.substring("text", -4 * TAIL, 4 * TAIL).alias("tail"))
+    tails = base.select("id", "code", "lang", "same", "n", "nb", "stray", "loose", F.substring(F.regexp_replace("text", BEHIND, ""), -4 * TAIL, 4 * TAIL).alias("tail"))
     raw = written(tails.mapInArrow(_find_ends, f"id {id_type}, code long, lang string, same string, n long, nb long, stray boolean, loose boolean, marked boolean, last string, keys array<long>, bare array<long>"))
 
     known = written(limits(raw.where("not stray")))

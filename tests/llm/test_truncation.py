@@ -109,3 +109,11 @@ def test_small_sources_keep_their_contexts_and_a_model_may_be_a_table(spark, mon
     table = scores()
     assert table.keys() == whole.keys()
     assert all(t == pytest.approx(whole[i][0], abs=1e-6) and cut == whole[i][1] for i, (t, cut) in table.items())
+
+
+def test_any_padding_behind_the_end(spark):
+    data, end = [r[:4] for r in corpus(2, 300)], "The ledger watches the harbour near"
+    data += [(9100 + i, end + pad, "wire", "en") for i, pad in enumerate(["", " " * 1000, "\u00a0" * 900 + "\ufffd" * 900 + "\n"])]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, lang string").repartition(4)
+    whole = {r["id"]: r["whole"] for r in T.truncated_texts(docs).where("id >= 9100").collect()}
+    assert whole[9101] == pytest.approx(whole[9100]) and whole[9102] == pytest.approx(whole[9100])
