@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import codecs
-import hashlib
 import html
 import unicodedata
 from collections.abc import Iterator
@@ -43,8 +42,6 @@ LOOSE = 3.0
 #: Rate taken in the first rounds, in which only clear ends are to train the model: ends as observed are mixed with cuts,
 #: so that at the true rate a cut would look no worse than even.
 DOUBT, DOUBTING, ROUNDS = 0.3, 2, 5
-#: Letters and digits at the end by which texts are taken for copies when the model is trained.
-ALIKE = 60
 MARKS = ("...", "\u2026")
 #: White space (as Python has it) and broken characters behind the end of a text.
 _BLANK = r"[\s\x1c-\x1f\x85\p{Z}\x{FFFD}]"
@@ -199,8 +196,7 @@ def _find_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = np.stack(list(p.keys(np.maximum(p.last, p.first - 1))), axis=1).view(np.int64)
                 out.append(pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, KEYS), pa.int32()), pa.array(keys.ravel())))
             marked = pa.array([a != b for a, b in pairs])
-            last = pa.array([hashlib.md5("".join(filter(str.isalnum, b.lower()))[-ALIKE:].encode("utf-8", "replace")).hexdigest() for _, b in pairs])
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "code", "lang", "same", "n", "nb", "stray", "loose")), marked, last, *out], names=["id", "code", "lang", "same", "n", "nb", "stray", "loose", "marked", "last", "keys", "bare"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "code", "lang", "same", "n", "nb", "stray", "loose")), marked, *out], names=["id", "code", "lang", "same", "n", "nb", "stray", "loose", "marked", "keys", "bare"])
 
 
 def _inner_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Positions, np.ndarray]]:
@@ -455,7 +451,7 @@ def truncated_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     text's last symbols are at an end and inside texts. Counts cover all texts and all positions. The ends are mixed
     with cuts, so they are weighed by the chance of being whole, in `ROUNDS` rounds, together with the rate of cuts of
     each source and language, which sets the threshold of the log-odds. For texts as long as the limit of their source,
-    or just shorter, the rate is the excess of such lengths. Copies train the model once. White space, broken characters and, at a limit, a mark of omission behind
+    or just shorter, the rate is the excess of such lengths. Copies within a source, alike but for white space at the end, train the model once. White space, broken characters and, at a limit, a mark of omission behind
     the end don't count. All copies of a text get the verdict cut if one does.
 
     A null source or language is one of its own. Contexts that end `LEAST` texts are kept, at every size. The driver
@@ -470,7 +466,7 @@ def truncated_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     id_type = base.schema["id"].dataType.simpleString()
     tails = base.select("id", "code", "lang", "same", "n", "nb", "stray", "loose", F.substring(F.regexp_replace("text", BEHIND, ""), -4 * TAIL, 4 * TAIL).alias("tail"))
-    raw = written(tails.mapInArrow(_find_ends, f"id {id_type}, code long, lang string, same string, n long, nb long, stray boolean, loose boolean, marked boolean, last string, keys array<long>, bare array<long>"))
+    raw = written(tails.mapInArrow(_find_ends, f"id {id_type}, code long, lang string, same string, n long, nb long, stray boolean, loose boolean, marked boolean, keys array<long>, bare array<long>"))
 
     known = written(limits(raw.where("not stray")))
     small = known.count() <= 100_000  # some rows a source
@@ -482,8 +478,8 @@ def truncated_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         placed = placed.join(sized(own.select(F.col("most").alias(size), F.lit(True).alias(f"stray_{unit}")).distinct()), size, "left")
     rate = F.when(F.col("stray"), F.when(F.coalesce("stray_0", "stray_1", F.lit(False)), STRAY_RATE)).otherwise(F.coalesce("rate_0", "rate_1"))
     placed = placed.withColumn("rate", rate).withColumn("rate", F.when(F.col("loose") & (F.col("rate") > 0.5), LOOSE * F.col("rate") / (1 + (LOOSE - 1) * F.col("rate"))).otherwise(F.col("rate")))
-    ends = written(placed.select(F.monotonically_increasing_id().alias("row"), "id", "code", "lang", "same", "last", F.coalesce("rate", F.lit(float("nan"))).alias("rate"), F.when((F.col("rate") > 0.5) & F.col("marked"), F.col("bare")).otherwise(F.col("keys")).alias("keys")))
-    train = written(ends.dropDuplicates(["code", "last"]))
+    ends = written(placed.select(F.monotonically_increasing_id().alias("row"), "id", "code", "lang", "same", F.coalesce("rate", F.lit(float("nan"))).alias("rate"), F.when((F.col("rate") > 0.5) & F.col("marked"), F.col("bare")).otherwise(F.col("keys")).alias("keys")))
+    train = written(ends.dropDuplicates(["code", "same"]))
 
     n_texts = train.count()
     parents = F.array(*[F.lit(p) for p in PARENT])

@@ -117,3 +117,10 @@ def test_any_padding_behind_the_end(spark):
     docs = spark.createDataFrame(data, "doc_id long, text string, source string, lang string").repartition(4)
     whole = {r["id"]: r["whole"] for r in T.truncated_texts(docs).where("id >= 9100").collect()}
     assert whole[9101] == pytest.approx(whole[9100]) and whole[9102] == pytest.approx(whole[9100])
+
+
+def test_texts_with_one_closing_formula_all_count(spark):
+    rng = random.Random(5)
+    formula = "\nThis note was carried from the harbour office of the northern meadow and counted by the keeper of the"
+    data = [r[:4] for r in corpus(6, 400)] + [(9200 + i, f"{sentence(rng)} {i} {sentence(rng)}{formula}", "notes", "en") for i in range(60)]
+    assert not any(cut for i, cut in run(spark, [(*r, False) for r in data]).items() if i >= 9200)
