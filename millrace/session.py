@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +34,16 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
     return builder.getOrCreate()
 
 
+#: Paths of the tables written within each open `workspace`, innermost last.
+_workspaces: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: `spark.checkpoint.dir` of the session.
 
-    Only where the session names none (a local test run) a temporary folder is made, set as the
-    checkpoint folder and removed at exit.
+    Only where the session names none and everything runs in one local process, as in tests, a temporary folder is
+    made, set as the checkpoint folder and removed at exit. A cluster without a folder raises RuntimeError: its
+    executors would each write to a disk of their own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
@@ -44,24 +51,66 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not is_local(spark.sparkContext.master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {spark.sparkContext.master} share")
     path = tempfile.mkdtemp(prefix="millrace-")
     atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{path}")
     return f"file://{path}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write `df` as a Parquet table into the shared folder and read it back.
+def is_local(master: str) -> bool:
+    """Whether a master URL stands for threads of one process."""
+    return master == "local" or master.startswith("local[")
+
+
+def _path(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    Cuts the lineage, survives lost executors, and lets several consumers read only their columns.
-    The table is deleted when the application's JVM ends.
+
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write `df` as a Parquet table into the shared folder and read it back, in a folder per value of the column `by`.
+
+    Cuts the lineage, survives lost executors, and lets several consumers read only their columns, or only one value
+    of `by`. The table is deleted by `discard`, at the end of the innermost open `workspace`, or when the
+    application's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/millrace-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").mode("overwrite").parquet(path)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd").mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    target, files = _path(spark, path)
+    files.deleteOnExit(target)
+    if _workspaces:
+        _workspaces[-1].append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete what `written` wrote, once nothing is to be read from it any more."""
+    path = getattr(table, "_written_to", None)
+    if path:
+        target, files = _path(table.sparkSession, path)
+        files.delete(target, True)
+        files.cancelDeleteOnExit(target)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables of all queries built inside when the block ends. Their results have to be
+    collected or written by then."""
+    _workspaces.append([])
+    try:
+        yield
+    finally:
+        for path in _workspaces.pop():
+            target, files = _path(spark, path)
+            files.delete(target, True)
+            files.cancelDeleteOnExit(target)
 
 
 def spread(table: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import skew as S
+from millrace.session import written
 
 SCHEMA = "msg_id long, iteration int, neighbor int, mass float, n string"
 
@@ -74,3 +76,33 @@ def test_heavy_keys(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert S.group_summary(S.once(df, "msg_id", "iteration", "neighbor", "mass"), ["iteration", "neighbor"], "mass").count() == 0
+
+
+def test_percentiles_equal_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, float("nan"), float("-inf"), *[float(x) for x in range(9)]])) for _ in range(3000)] + [("empty", None), ("one", 4.0)]
+    got = {r["k"]: tuple(r)[1:] for r in S.percentiles(S.weighted_values(spark.createDataFrame(rows, "k string, v double"), ["k"], "v"), ["k"], "v", [1, 50, 90, 100]).collect()}
+    for k in ("a", "b", None, "one"):
+        own = sorted(v for x, v in rows if x == k and v is not None and not math.isnan(v))
+        assert got[k] == tuple(own[math.ceil(len(own) * p / 100) - 1] for p in (1, 50, 90, 100))
+    assert "empty" not in got
+    with pytest.raises(ValueError):
+        S.percentiles(spark.createDataFrame([], "k string, v double, weight long"), ["k"], "v", [0])
+    assert S.percentiles(spark.createDataFrame([], "k string, v double, weight long"), ["k"], "v", [50]).count() == 0
+
+
+def test_join_hot_equals_a_left_join(spark):
+    rows = spark.range(1000).selectExpr("id", "case when id % 3 = 0 then 'hot' when id % 7 = 0 then null else concat('k', id % 11) end as k")
+    table = rows.where("k is not null and k <> 'k5'").groupBy("k").count().selectExpr("k", "count as n", "concat(k, '!') as v", "count * 2 as w")
+    plain = sorted(map(tuple, rows.join(table.drop("n"), "k", "left").select("id", "k", "v", "w").collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for parts in (1, 5, 4096):
+            assert sorted(map(tuple, S.join_hot(rows, table, "k", "n", 1000, F.col("id"), parts).collect())) == plain
+        joined = S.join_hot(rows, written(table), "k", "n", 1000, F.col("id"), 5)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert max(sizes) < 2 * 1000 / len(sizes) and len(sizes) > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
