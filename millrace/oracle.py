@@ -98,4 +98,7 @@ SELECT round(100 * (1 - sum(pos * (below + neg / 2)) / (sum(pos)::DOUBLE * sum(n
 count(DISTINCT mass) FILTER (NOT isnan(mass)) AS n_distinct FROM msgs GROUP BY 1, 2), w AS (SELECT iteration, neighbor, mass, count(*) AS w FROM msgs WHERE NOT isnan(mass) GROUP BY 1, 2, 3),
 m AS (SELECT iteration, neighbor, mass::DOUBLE AS mode FROM w QUALIFY row_number() OVER (PARTITION BY iteration, neighbor ORDER BY w DESC, mass) = 1)
 SELECT n.iteration, n.neighbor, n, round(log_mass, 6) AS log_mass, n_distinct, mode, n.neighbor IN (SELECT nodeid FROM graph_nodes WHERE nodeid IS NOT NULL) AS known FROM n LEFT JOIN m ON n.iteration IS NOT DISTINCT FROM m.iteration AND n.neighbor = m.neighbor""",
+    "p4_percentiles": f"""WITH {MESSAGES}, r AS (SELECT iteration, neighbor, mass::DOUBLE AS mass, row_number() OVER w AS r, count(*) OVER (PARTITION BY iteration, neighbor) AS n FROM msgs
+WHERE mass IS NOT NULL AND NOT isnan(mass) WINDOW w AS (PARTITION BY iteration, neighbor ORDER BY mass))
+SELECT iteration, neighbor, min(mass) FILTER (100 * r >= 10 * n) AS p_10, min(mass) FILTER (100 * r >= 50 * n) AS p_50, min(mass) FILTER (100 * r >= 90 * n) AS p_90 FROM r GROUP BY 1, 2""",
 }

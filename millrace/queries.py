@@ -263,6 +263,13 @@ def p4_receivers(spark: SparkSession, d: str) -> DataFrame:
     return summary.join(nodes, "neighbor", "left").select("iteration", "neighbor", "n", F.round("log_sum", 6).alias("log_mass"), "n_distinct", F.col("mode").cast("double").alias("mode"), F.coalesce("known", F.lit(False)).alias("known"))
 
 
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Per iteration and receiver: the mass that a tenth, half, and nine tenths of its messages do not exceed."""
+    keys = ["iteration", "neighbor"]
+    found = skew.percentiles(skew.weighted_values(_messages(spark, d), keys, "mass"), keys, "mass", [10, 50, 90])
+    return found.select(*keys, *[F.col(f"p_{p}").cast("double").alias(f"p_{p}") for p in (10, 50, 90)])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q1_shipdate_count": q1,
     "q2_clerk_topk": q2,
@@ -278,6 +285,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         index_vocabulary, index_build, index_gaps, index_roundtrip, term_lookup, bool_and, bool_or, bool_postfix, fetch_line, search_json,
         graph_stats, graph_edges, graph_partition, ppr, ppr_topk,
         sgd_train, sgd_train_shuffled, sgd_train_ensemble, spam_score, spam_ensemble_avg, spam_ensemble_vote, spam_roca,
-        p4_found, p4_receivers,
+        p4_found, p4_receivers, p4_percentiles,
     )
 }
