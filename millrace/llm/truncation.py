@@ -5,7 +5,7 @@ from __future__ import annotations
 import codecs
 import html
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -35,7 +35,7 @@ TAIL, BLOCK_CHARS, PIECE = 200, 1 << 19, 1 << 18
 #: side of it that shows how many texts would have such a length anyway.
 NEAR, AROUND = 15, 64
 #: Rate of cuts assumed away from limits, and its weight in texts, against what a source shows, and a source's rate
-#: against what one of its languages shows. Rate assumed for a text of no known source that is as long as some limit.
+#: against what one of its languages shows.
 RATE, RATE_WEIGHT, STRAY_RATE = 0.03, 20.0, 0.85
 #: How much likelier a text cut at a limit ends in white space than a whole one.
 LOOSE = 3.0
@@ -43,9 +43,8 @@ LOOSE = 3.0
 #: so that at the true rate a cut would look no worse than even.
 DOUBT, DOUBTING, ROUNDS = 0.3, 2, 5
 MARKS = ("...", "\u2026")
-#: White space (as Python has it) and broken characters behind the end of a text.
-_BLANK = r"[\s\x1c-\x1f\x85\p{Z}\x{FFFD}]"
-BEHIND = rf"(?<!{_BLANK}){_BLANK}+\z"
+#: White space (as Python has it) and broken characters, which behind the end of a text don't count.
+BEHIND = "".join(c for c in map(chr, range(0x10000)) if c.isspace()) + "\ufffd"
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: Classes of characters; punctuation stands for itself.
 LOWER, UPPER, DIGIT, SPACE, BREAK, LETTER, START, CAPITALS = 1, 2, 3, 4, 5, 6, 7, 15
@@ -81,6 +80,34 @@ def _classify(x: np.ndarray) -> np.ndarray:
     return cls
 
 
+class Lookup:
+    """Where 64-bit keys stand in a sorted array without repeats, by open addressing on their first bits.
+
+    Keys lie in their order, each in the slot its first bits name or, where that is taken, in the next free one; so a
+    search goes on only over smaller keys.
+    """
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(8, (4 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        at = np.arange(len(keys))
+        slot = np.maximum.accumulate((keys >> self.shift).astype(np.int64) - at) + at
+        self.keys = np.full(max(1 << bits, int(slot[-1]) + 1 if len(slot) else 0) + 1, ~np.uint64(0))
+        self.at = np.zeros(len(self.keys), np.int32)
+        self.keys[slot], self.at[slot] = keys, at
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The index of each key, and whether it is there at all."""
+        i = (keys >> self.shift).astype(np.int64)
+        there = self.keys[i]
+        behind = np.flatnonzero(there < keys)
+        while len(behind):
+            i[behind] += 1
+            there[behind] = self.keys[i[behind]]
+            behind = behind[there[behind] < keys[behind]]
+        return self.at[i], there == keys
+
+
 class Positions:
     """Context keys at any position of some texts, which are laid one after the other with marks between."""
 
@@ -129,6 +156,44 @@ class Positions:
             h = _mix(h, self.x[np.maximum(at - k, 0)])
             yield h
 
+    def known(self, inner: np.ndarray, find: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What `find` has of the contexts at all positions marked by `inner`, and how many positions each is for.
+
+        `find` gives a value for each key and whether it knows the key. A context is looked for only where it knows
+        the one it extends, so that most positions are done after a few symbols. All positions of a token but its
+        first have the same shape contexts, so these are looked for once a token.
+        """
+        opens = inner[self.begin]
+        others = np.add.reduceat(inner, self.begin, dtype=np.int64) - opens
+        first, later = np.flatnonzero(opens), np.flatnonzero(others)
+        n = np.concatenate([np.ones(len(first), np.int64), others[later]])
+        shape = [np.concatenate([o[first], h[later]]) for o, h in zip(self.opening, self.shape, strict=True)]
+        root = _mix(self.source[self.begin[np.concatenate([first, later])]], 5)
+        for base, above in ((root, root), (np.full(len(n), 1, np.uint64), np.full(len(n), 7, np.uint64))):
+            value, hit = find(base)
+            yield value[hit], n[hit]
+            on = np.flatnonzero(hit)
+            for depth, h in enumerate(shape):
+                value, hit = find(_mix(h[on], above[on]))
+                on = on[hit]
+                yield value[hit], n[on]
+                if depth == 2:
+                    deep = on  # of all sources, last: the characters hang on these
+        follow = np.zeros((2, len(self.begin)), bool)
+        follow[1, first[deep[deep < len(first)]]] = True
+        follow[0, later[deep[deep >= len(first)] - len(first)]] = True
+        at = np.flatnonzero(inner)
+        t = self.token[at]
+        start = self.begin[t] == at
+        keep = np.where(start, follow[1, t], follow[0, t])
+        at, t, start = at[keep], t[keep], start[keep]
+        h = _mix(np.where(start, self.opening[2][t], self.shape[2][t]), 11)
+        for k in range(CHARS):
+            h = _mix(h, self.x[np.maximum(at - k, 0)])
+            value, hit = find(h)
+            at, h = at[hit], h[hit]
+            yield value[hit], np.ones(len(at), np.int64)
+
 
 #: Bytes that only continue a character.
 _REST = bytes(range(0x80, 0xC0))
@@ -200,7 +265,7 @@ def _find_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _inner_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Positions, np.ndarray]]:
-    """All inner positions of all texts, block by block."""
+    """All texts, block by block, and a mark at every inner position."""
     for batch in batches:
         for part in _blocks(batch, BLOCK_CHARS):
             rows = batch.slice(part.start, part.stop - part.start)
@@ -218,25 +283,20 @@ def _inner_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Positi
             inner[p.last] = False
             for first, skip in zip(p.first, skips, strict=True):
                 inner[first : first + skip] = False
-            yield p, np.flatnonzero(inner)
+            yield p, inner
 
 
-def _inner_counter(model: np.ndarray):
+def _inner_counter(content):
     """Count the model's contexts at all inner positions of all texts, in one array per task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = np.zeros(1 << 22, bool)
-        near[(model >> np.uint64(42)).astype(np.int64)] = True
-        total = np.zeros(len(model), np.int64)
-        for p, at in _inner_positions(batches):
-            for keys in p.keys(at):
-                keys = keys[near[(keys >> np.uint64(42)).astype(np.int64)]]
-                found, n = np.unique(keys, return_counts=True)
-                i = np.minimum(np.searchsorted(model, found), len(model) - 1)
-                hit = model[i] == found
-                total[i[hit]] += n[hit]
+        model = content.value
+        lookup, total = Lookup(model), np.zeros(len(model))
+        for p, inner in _inner_positions(batches):
+            at, n = (np.concatenate(x) for x in zip(*p.known(inner, lookup.find), strict=True))
+            total += np.bincount(at, n, len(total))
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(model[seen].view(np.int64)), pa.array(total[seen])], names=["key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(model[seen].view(np.int64)), pa.array(total[seen].astype(np.int64))], names=["key", "n"])
 
     return count
 
@@ -246,10 +306,11 @@ def _inner_keys(content):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = content.value
-        for p, at in _inner_positions(batches):
-            for keys in p.keys(at):
-                found, n = np.unique(keys[near[(keys >> np.uint64(64 - SIFT)).astype(np.int64)]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+        sift = lambda keys: (keys, near[(keys >> np.uint64(64 - SIFT)).astype(np.int64)])
+        for p, inner in _inner_positions(batches):
+            for keys, n in p.known(inner, sift):
+                found, at = np.unique(keys, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.bincount(at, n, len(found)).astype(np.int64))], names=["key", "n"])
 
     return run
 
@@ -460,12 +521,12 @@ def truncated_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     ship(spark)
-    trimmed = F.regexp_replace(F.col(text), r"\s+\z", "")
-    base = docs.where(F.col(text).isNotNull() & F.col(text).rlike(r"\S")).select(
-        F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(source).cast("string"), F.lit(""))).alias("code"), _language(F.col(lang)).alias("lang"), F.md5(trimmed.cast("binary")).alias("same"), F.length(text).cast("long").alias("n"), F.octet_length(text).cast("long").alias("nb"), F.col(source).isNull().alias("stray"), F.col(text).rlike(r"\s\z").alias("loose"), F.col(text).alias("text")
+    trimmed = F.rtrim(F.col(text), F.lit(BEHIND))
+    base = docs.where(F.col(text).isNotNull() & (trimmed != "")).select(
+        F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(source).cast("string"), F.lit(""))).alias("code"), _language(F.col(lang)).alias("lang"), F.md5(trimmed.cast("binary")).alias("same"), F.length(text).cast("long").alias("n"), F.octet_length(text).cast("long").alias("nb"), F.col(source).isNull().alias("stray"), F.substring(text, -1, 1).rlike(r"\s").alias("loose"), F.col(text).alias("text")
     )
     id_type = base.schema["id"].dataType.simpleString()
-    tails = base.select("id", "code", "lang", "same", "n", "nb", "stray", "loose", F.substring(F.regexp_replace("text", BEHIND, ""), -4 * TAIL, 4 * TAIL).alias("tail"))
+    tails = base.select("id", "code", "lang", "same", "n", "nb", "stray", "loose", F.substring(F.rtrim("text", F.lit(BEHIND)), -4 * TAIL, 4 * TAIL).alias("tail"))
     raw = written(tails.mapInArrow(_find_ends, f"id {id_type}, code long, lang string, same string, n long, nb long, stray boolean, loose boolean, marked boolean, keys array<long>, bare array<long>"))
 
     known = written(limits(raw.where("not stray")))
@@ -506,7 +567,7 @@ def _scored_by_broadcast(base: DataFrame, train: DataFrame, ends: DataFrame, con
     model = Model(keys[order], np.zeros(len(keys), np.int64), table.column("w").to_numpy()[order], table.column("kinds").to_numpy()[order], {})
 
     content = spark.sparkContext.broadcast(model.keys)
-    inner = base.select("code", "text").mapInArrow(lambda b: _inner_counter(content.value)(b) if len(content.value) else iter(()), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    inner = base.select("code", "text").mapInArrow(_inner_counter(content), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     inside = model.inside.copy()
     inside[np.searchsorted(model.keys, inner.column("key").to_numpy().view(np.uint64))] = inner.column("n").to_numpy()
     model = model._replace(inside=inside)

@@ -1,4 +1,5 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -86,7 +87,7 @@ def test_long_texts_in_pieces(monkeypatch):
     p = T.Positions(texts, np.zeros(3, np.int64))
     model = np.unique(np.concatenate([k for k in p.keys(p.last)]))
     batch = pa.RecordBatch.from_arrays([pa.array([0, 0, 0]), pa.array(texts)], names=["code", "text"])
-    total = lambda: dict(zip(*(c.to_pylist() for c in next(iter(T._inner_counter(model)(iter([batch])))).columns), strict=True))
+    total = lambda: dict(zip(*(c.to_pylist() for c in next(iter(T._inner_counter(SimpleNamespace(value=model))(iter([batch])))).columns), strict=True))
     whole = total()
     monkeypatch.setattr(T, "PIECE", 250)
     monkeypatch.setattr(T, "BLOCK_CHARS", 100)
@@ -124,3 +125,24 @@ def test_texts_with_one_closing_formula_all_count(spark):
     formula = "\nThis note was carried from the harbour office of the northern meadow and counted by the keeper of the"
     data = [r[:4] for r in corpus(6, 400)] + [(9200 + i, f"{sentence(rng)} {i} {sentence(rng)}{formula}", "notes", "en") for i in range(60)]
     assert not any(cut for i, cut in run(spark, [(*r, False) for r in data]).items() if i >= 9200)
+
+
+def test_lookup_and_counts_equal_plain_ones():
+    rng = np.random.default_rng(3)
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 63, 5000, np.uint64) * np.uint64(2), np.arange(300, dtype=np.uint64) + np.uint64(1 << 50)]))
+    asked = np.concatenate([keys, keys + np.uint64(1), np.zeros(3, np.uint64)])
+    at, hit = T.Lookup(keys).find(asked)
+    assert (hit == np.isin(asked, keys)).all() and (keys[at[hit]] == asked[hit]).all()
+    assert not T.Lookup(keys[:0]).find(asked)[1].any()
+    texts = [sentence(random.Random(i)) + "\n" + "Ab, c! " * i for i in range(40)]
+    p = T.Positions(texts, np.arange(40) % 3)
+    inner = ~p.blank
+    inner[p.last] = False
+    every = list(p.keys(np.flatnonzero(inner)))
+    model = np.unique(np.concatenate([np.stack(list(p.keys(p.last)), 1).ravel(), *every]))[::1]
+    lookup = T.Lookup(model)
+    total = np.zeros(len(model))
+    for at, n in p.known(inner, lookup.find):
+        total += np.bincount(at, n, len(model))
+    plain = np.bincount(np.searchsorted(model, np.concatenate(every)), minlength=len(model))
+    assert (total == plain).all()
