@@ -30,7 +30,7 @@ LEAST = 2
 #: contexts that end more than one in HOT texts. Bits of a key by which inner positions are sifted before that join.
 CAPACITY, HOT, SIFT = 1 << 17, 1 << 12, 24
 #: Characters of a text's end that are looked at, characters per block, and most characters of one piece of a text.
-TAIL, BLOCK_CHARS, PIECE = 200, 1 << 19, 1 << 18
+TAIL, BLOCK_CHARS, PIECE = 200, 1 << 18, 1 << 18
 #: Lengths below a limit that still count as cut there (to the last whole word, or stripped), and the stretch to either
 #: side of it that shows how many texts would have such a length anyway.
 NEAR, AROUND = 15, 64
