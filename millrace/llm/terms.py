@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from millrace.functions.text import tokens
+from millrace.operators.skew import join_hot
 from millrace.session import ship, written
 
 #: At most so many terms are treated as heavy; also the size bound of everything that is broadcast for them.
 HEAVY = 512
 #: Frequencies tracked to find the heavy terms (the error of the sketch is total / TRACKED at most).
 TRACKED = 8192
-#: Longer terms are never broadcast, which bounds the heavy terms' bytes as well.
+#: Terms of more bytes are never heavy, and stand by their digest in joins, which bounds the bytes that are broadcast.
 HEAVY_LENGTH = 64
 
 
@@ -51,7 +52,7 @@ def collect_heavy(recs: DataFrame, heavy: int = HEAVY) -> Collection:
     """
     stored = written(recs)
     n, occurrences = stored.agg(F.count("*"), F.coalesce(F.sum(F.size("terms").cast("long")), F.lit(0))).first()
-    short = stored.select(F.explode("terms").alias("t")).where(F.length("t") <= HEAVY_LENGTH)
+    short = stored.select(F.explode("terms").alias("t")).where(F.octet_length("t") <= HEAVY_LENGTH)
     top = short.agg(F.expr(f"approx_top_k(t, {heavy}, {max(TRACKED, 4 * heavy)})").alias("top")).first()["top"] if occurrences else []
     least = occurrences / TRACKED
     return Collection(stored, n, occurrences, sorted(x["item"] for x in top or [] if x["item"] is not None and x["count"] > least))
@@ -121,22 +122,33 @@ def record_scores(collection: Collection, least_df: int = 1, alpha: float = 0.75
     term's marginal of it; q(record), the context, is the record's length to the power `alpha`, normalised over all
     records. With `presence` and alpha 0, where every record weighs the same, it is ln(N / df).
     A record without terms has no rows; unshared terms keep theirs unless `least_df` says otherwise.
-    Group-bys and joins only: joint counts are made where the records are, marginals come from them, the heavy terms (a
-    bounded set) are joined by broadcast and the others by a shuffle in which no term is frequent.
+    Group-bys and joins only. Joint counts are runs of the record's sorted terms, so they need no shuffle; they are
+    written apart for heavy and other terms, so that each row is read once for the marginals, which come from them, and
+    once for its join. Heavy terms (a bounded set) are joined by broadcast, the others by a shuffle that splits what is
+    frequent all the same.
     """
     recs = collection.records.select("docid", "terms", F.size("terms").alias("len"))
-    joint = written(recs.select("docid", "len", F.explode("terms").alias("term")).groupBy("docid", "len", "term").agg(F.count("*").cast("int").alias("tf")))
+    counted = recs.select("docid", "len", F.array_sort("terms").alias("s"))
+    runs = counted.select("docid", "len", "s", F.filter(F.transform("s", lambda t, i: F.when((i == 0) | (t != F.get("s", i - 1)), i)), lambda i: i.isNotNull()).alias("at"))
+    each = runs.select("docid", "len", F.inline(F.transform("at", lambda i, k: F.struct(F.get("s", i).alias("term"), (F.coalesce(F.get("at", k + 1), F.size("s")) - i).alias("tf")))))
+    is_heavy = F.col("term").isin(collection.heavy) if collection.heavy else F.lit(False)
+    joint = written(each.withColumn("heavy", is_heavy), "heavy")
     count = F.lit(1) if presence else F.col("tf")
-    marginal = joint.groupBy("term").agg(F.count("*").alias("df"), F.sum(count).alias("n_t")).where(F.col("df") >= least_df)
+    marginal = written(joint.groupBy("heavy", "term").agg(F.count("*").alias("df"), F.sum(count).alias("n_t")).where(F.col("df") >= least_df), "heavy")
     contexts = float(recs.agg(F.sum(F.pow("len", F.lit(alpha)))).first()[0] or 1.0)
-    is_heavy = F.col("term").isin(collection.heavy) if collection.heavy else F.lit(False)
-    both = joint.where(~is_heavy).join(marginal.where(~is_heavy), "term")
+    light = marginal.where("not heavy").select(join_key(F.col("term")).alias("key"), "df", "n_t", F.col("df").alias("rows"))
+    both = join_hot(joint.where("not heavy").withColumn("key", join_key(F.col("term"))), light, "key", "rows", collection.occurrences, F.col("docid")).where("df is not null").drop("key", "heavy")
     if collection.heavy:
-        both = both.unionByName(joint.where(is_heavy).join(F.broadcast(marginal.where(is_heavy)), "term"))
+        both = both.unionByName(joint.where("heavy").drop("heavy").join(F.broadcast(marginal.where("heavy").drop("heavy")), "term"))
     pmi = F.log(count * F.lit(contexts) / (F.col("n_t") * F.pow("len", F.lit(alpha))))
     return both.select("docid", "term", "tf", "df", F.greatest(pmi, F.lit(0.0)).alias("ppmi"))
 
 
+def join_key(term: Column) -> Column:
+    """The term, or, where it is long, its digest behind a sign that no term begins with."""
+    return F.when(F.octet_length(term) > HEAVY_LENGTH, F.concat(F.lit("\0"), F.md5(term.cast("binary")))).otherwise(term)
+
+
 def outstanding(scores: DataFrame, ratio: float = 2.0) -> DataFrame:
     """(docid, term): the term of highest tf * ppmi of each record with two terms or more, if its value (6 decimals) is
     at least `ratio` times the second's; of equal values the smaller term.

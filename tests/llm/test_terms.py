@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import terms as T
 from tests.test_text import reference_tokens
@@ -70,6 +71,22 @@ def test_scores_equal_brute_force(spark):
     assert {r["docid"]: r["term"] for r in flat.collect()} == best and best
 
 
+def test_a_long_term_of_every_record_is_no_hot_key(spark):
+    long = "z" + "-" * 98 + "z"
+    recs = T.collect_heavy(T.records(spark.createDataFrame([(i, f"{long} w{chr(97 + i % 7)}x y{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}z") for i in range(2000)], "docid int, text string").repartition(4)), 4)
+    assert long not in recs.heavy
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        scores = T.record_scores(recs).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(1 for r in scores if r["term"] == long and r["df"] == 2000) == 2000
+    sizes = sorted(Counter(r["part"] for r in scores).values())
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
 def test_empty(spark):
     c = T.collect_heavy(T.records(spark.createDataFrame([], SCHEMA)))
     assert c.n == 0 and c.heavy == [] and T.term_frequencies(c).count() == 0
