@@ -12,15 +12,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.text import head_terms
-from millrace.llm.terms import Collection, lift
+from millrace.llm.terms import Collection, join_key, lift
+from millrace.operators.skew import HOT, join_hot
 from millrace.session import ship, written
 
 #: Items with a bit column of their own.
 HEAVY = 256
 #: Records per block of a task; bounds the bit matrix to HEAVY * BLOCK / 8 bytes.
-BLOCK = 16384
+BLOCK = 1 << 17
 #: A dictionary goes to all workers only up to so many bytes of items (then records are coded without a shuffle), else it
-#: is joined by shuffle, its heavy items by broadcast.
+#: is joined by shuffle, its frequent items by broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Pairs with an item that has no bit column which a block may hold; a record of more is a block of its own.
 PAIRS = 1 << 23
@@ -170,19 +171,17 @@ def pair_counts(collection: Collection, cap: int | None = None, least: int = 1,
         names = heads.sparkSession.sparkContext.broadcast(table.column("term").combine_chunks().cast(pa.string()))
         counted = heads.select("h").mapInArrow(_pair_counter(heavy, block, names), "a int, b int, n long")
     else:
-        flat = heads.select("docid", F.explode("h").alias("term"))
-        top = F.broadcast(dictionary.where(F.col("id") < heavy).select("term", "id"))
-        rest = dictionary.where(F.col("id") >= heavy).select("term", F.col("id").alias("rest_id"))
-        first = flat.join(top, "term", "left")
-        coded = first.where("id is not null").select("docid", "id").unionByName(first.where("id is null").join(rest, "term").select("docid", F.col("rest_id").alias("id")))
+        total = single.agg(F.sum("c")).first()[0]
+        flat = heads.select("docid", F.explode("h").alias("term")).withColumn("key", join_key(F.col("term")))
+        coded = join_hot(flat, dictionary.select(join_key(F.col("term")).alias("key"), "id", "c"), "key", "c", total, F.col("docid")).where("id is not null").select("docid", "id")
         lists = coded.groupBy("docid").agg(F.collect_list("id").alias("ids")).where(F.size("ids") > 1)
         counted = lists.select("ids").mapInArrow(_pair_counter(heavy, block), "a int, b int, n long")
     counted = counted.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     named = lambda k: dictionary.select(F.col("id").alias(k), F.col("term").alias(f"t{k}"), F.col("c").alias(f"c{k}"))
     if size <= BROADCAST_BYTES:
         pairs = counted.join(F.broadcast(named("a")), "a").join(F.broadcast(named("b")), "b")
-    else:  # a heavy item has pairs with most others: its rows stay where they are
-        counted, is_heavy = written(counted), F.col("a") < heavy
+    else:  # a frequent item has pairs with most others: its rows stay where they are
+        counted, is_heavy = written(counted), F.col("a") < HOT
         light = counted.where(~is_heavy).join(named("a").where(~is_heavy), "a")
         pairs = light.unionByName(counted.where(is_heavy).join(F.broadcast(named("a").where(is_heavy)), "a")).join(named("b"), "b")
     swap = F.col("ta") > F.col("tb")

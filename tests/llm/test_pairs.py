@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 from itertools import combinations
 
@@ -48,7 +49,7 @@ def test_all_pairs_of_long_records(spark, tmp_path):
     spark.createDataFrame([(d, d, t, None) for d, t in texts.items()], "query_id long, docid int, text string, fetched_at timestamp_ntz").write.parquet(f"{tmp_path}/query_results.parquet")
     sets = [set(reference_tokens(t)) for t in texts.values()]
     single, both = Counter(t for s in sets for t in s), Counter(p for s in sets for p in combinations(sorted(s), 2))
-    got = {(r["term_a"], r["term_b"]): (r["n"], r["c_a"], r["c_b"], r["lift"]) for r in Q.p3_all_pairs(spark, str(tmp_path)).collect()}
+    got = {(r["term_a"], r["term_b"]): (r["n"], r["c_a"], r["c_b"], r["lift"]) for r in Q.p3_pairs(spark, str(tmp_path)).collect()}
     assert got == {(a, b): (n, single[a], single[b], pytest.approx(n * 4 / (single[a] * single[b]), abs=1e-6)) for (a, b), n in both.items()}
 
 
@@ -69,3 +70,17 @@ def test_counter_in_bounded_pieces(records, heavy, most, block, size):
         for a, b, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             got[a, b] += n
     assert got == Counter(p for r in records for p in combinations(sorted(r), 2))
+
+
+def test_frequent_items_behind_the_heavy_ones(spark, monkeypatch):
+    """A dictionary that is joined, items named by digest, and one in every record that has no bit column."""
+    rng = random.Random(8)
+    long = "a" + "x-" * 60 + "z"
+    data = [(i, f"{long} w{chr(97 + i % 5)}q {' '.join('t' + chr(97 + rng.randrange(26)) + 'r' for _ in range(4))}") for i in range(200)]
+    rows = spark.createDataFrame(data, "docid int, text string").repartition(4)
+    c = T.collect_heavy(T.records(rows))
+    want = sorted(map(tuple, P.pair_counts(c).collect()))
+    monkeypatch.setattr(P, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(P, "HOT", 3)
+    assert sorted(map(tuple, P.pair_counts(c, heavy=2, block=7).collect())) == want
+    assert any(r[0] == long for r in want)
