@@ -16,15 +16,17 @@ from millrace.session import ship, written
 
 #: Pieces per rank bucket aimed at, and the most buckets.
 PER_BUCKET, MOST_BUCKETS = 1 << 18, 4096
-#: Histogram rows collected at most: one per length up to the capacity. Larger capacities are refused.
-MOST_CAPACITY = 1 << 17
+#: Classes of lengths a capacity has at most, and so the histogram rows of a profile. Up to this capacity a class is one
+#: length; in larger containers lengths are taken in steps, and an item has the room of its class.
+MOST_LENGTHS = 1 << 17
 #: Ranks within a length stay below 2 to this power.
 RANK_BITS = 45
 
 
 class Runs(NamedTuple):
-    """Where the items of each length go, by rank: for the ranks first .. first + containers * times - 1 of `length`,
-    container = base + r // times, slot = slot + r % times, offset = offset + r % times * length, r = rank - first."""
+    """Where the items of each class of lengths go, by rank: for the ranks first .. first + containers * times - 1 of
+    `length`, container = base + r // times, slot = slot + r % times, offset = offset + r % times * length, r = rank -
+    first, lengths and offsets in steps."""
 
     length: np.ndarray
     first: np.ndarray
@@ -111,17 +113,17 @@ def _place(runs: dict[int, Runs]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            capacity, length, rank = (column[n].to_numpy(zero_copy_only=False).astype(np.int64) for n in ("capacity", "length", "rank"))
+            capacity, step, kind, rank = (column[n].to_numpy(zero_copy_only=False).astype(np.int64) for n in ("capacity", "step", "class", "rank"))
             container, slot, offset = (np.zeros(len(rank), np.int64) for _ in range(3))
             for c in np.unique(capacity):
                 own, r = np.flatnonzero(capacity == c), runs[int(c)]
-                at = np.searchsorted(r.length << RANK_BITS | r.first, length[own] << RANK_BITS | rank[own], "right") - 1
+                at = np.searchsorted(r.length << RANK_BITS | r.first, kind[own] << RANK_BITS | rank[own], "right") - 1
                 inside = rank[own] - r.first[at]
                 container[own] = r.base[at] + inside // r.times[at]
                 slot[own] = r.slot[at] + inside % r.times[at]
-                offset[own] = r.offset[at] + inside % r.times[at] * length[own]
+                offset[own] = r.offset[at] + inside % r.times[at] * kind[own]
             yield pa.RecordBatch.from_arrays(
-                [column["profile"], column["item"], column["part"], pa.array(container), pa.array(slot.astype(np.int32)), pa.array(offset.astype(np.int32)), pa.array(length.astype(np.int32))],
+                [column["profile"], column["item"], column["part"], pa.array(container), pa.array(slot.astype(np.int32)), pa.array(offset * step), column["length"]],
                 names=["profile", "item", "part", "container", "position", "start", "length"],
             )
 
@@ -136,46 +138,51 @@ def pack(items: DataFrame, profiles: DataFrame, item: str, size: str) -> DataFra
     get one row with a null container, position and start. Equal rows are placed each.
     Profiles of a null or non-positive capacity are left out; `profiles` is a table of a few rows of fixed number.
 
-    The driver sees one histogram row per profile and length (`capacity` rows at most) and computes patterns; items
-    are joined to them by their rank among those of the same length. Ranks are counted within hashed buckets of a
+    The driver sees one histogram row per profile and class of lengths (`MOST_LENGTHS` at most) and computes patterns;
+    a class is one length, but for capacities above `MOST_LENGTHS`, where it is a range of them and items begin where
+    the class before ends, so that up to a step of room may lie between two. Items are joined to patterns by their rank
+    among those of the same class. Ranks are counted within hashed buckets of a
     length and offset by the buckets before, so that a length shared by a third of all items is spread over tasks.
     """
     kinds = [(r["profile"], r["capacity"]) for r in profiles.select("profile", F.col("capacity").cast("long").alias("capacity")).distinct().collect() if r["capacity"] and r["capacity"] > 0]
-    if any(c > MOST_CAPACITY for _, c in kinds):
-        raise ValueError(f"capacities over {MOST_CAPACITY} are not provided for")
     ship(items.sparkSession)
     sizes = written(items.select(F.col(item).alias("item"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size")))
     each = sizes.withColumn("k", F.explode(F.array(*[F.struct(F.lit(p).cast("string").alias("profile"), F.lit(c).alias("capacity")) for p, c in kinds]) if kinds else F.expr("cast(array() as array<struct<profile:string,capacity:bigint>>)"))).select("k.profile", "k.capacity", "item", "size")
     parts = F.when(F.col("size") > 0, F.ceil(F.col("size") / F.col("capacity")))
     pieces = each.where("size > 0").select("profile", "capacity", "item", "size", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
-    pieces = pieces.select("profile", "capacity", "item", F.col("part").cast("int").alias("part"), F.least(F.col("capacity"), F.col("size") - F.col("part") * F.col("capacity")).alias("length"))
+    step = F.ceil(F.col("capacity") / MOST_LENGTHS)
+    pieces = pieces.select("profile", "capacity", "item", F.col("part").cast("int").alias("part"), F.least(F.col("capacity"), F.col("size") - F.col("part") * F.col("capacity")).alias("length"), step.alias("step"))
+    pieces = pieces.withColumn("class", F.least(F.expr("(length + step - 1) div step"), F.expr("capacity div step")))
 
-    histogram = pieces.groupBy("capacity", "length").agg(F.count("*").alias("n"))
+    histogram = pieces.groupBy("capacity", "step", "class").agg(F.count("*").alias("n"))
     by_capacity: dict[int, dict[int, int]] = {}
-    for r in histogram.collect():  # capacity rows per profile at most
-        by_capacity.setdefault(r["capacity"], {})[r["length"]] = r["n"]
+    room: dict[int, int] = {}
+    for r in histogram.collect():  # MOST_LENGTHS rows per profile at most
+        by_capacity.setdefault(r["capacity"], {})[r["class"]] = r["n"]
+        room[r["capacity"]] = r["capacity"] // r["step"]
     same = {c: sum(1 for _, x in kinds if x == c) for _, c in kinds}
-    runs = {c: lay_out(fill_patterns({k: n // same[c] for k, n in h.items()}, c)) for c, h in by_capacity.items()}
+    runs = {c: lay_out(fill_patterns({k: n // same[c] for k, n in h.items()}, room[c])) for c, h in by_capacity.items()}
     total = sum(sum(h.values()) for h in by_capacity.values())
     buckets = max(1, min(MOST_BUCKETS, total // PER_BUCKET))
 
     keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("item", "part"), F.lit(buckets)).cast("int"))
-    key = ["profile", "capacity", "length"]
+    key = ["profile", "capacity", "class"]
     before = keyed.groupBy(*key, "bucket").agg(F.count("*").alias("n"))
     before = before.select(*key, "bucket", F.coalesce(F.sum("n").over(W.partitionBy(*key).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = keyed.withColumn("at", F.row_number().over(W.partitionBy(*key, "bucket").orderBy("item", "part")) - 1)
-    ranked = inside.join(before, [*key, "bucket"]).select("profile", "capacity", "item", "part", "length", (F.col("before") + F.col("at")).alias("rank"))
+    ranked = inside.join(before, [*key, "bucket"]).select("profile", "capacity", "item", "part", "length", "step", "class", (F.col("before") + F.col("at")).alias("rank"))
     kind_of_item = sizes.schema["item"].dataType.simpleString()
-    placed = ranked.mapInArrow(_place(runs), f"profile string, item {kind_of_item}, part int, container long, position int, start int, length int")
-    empty = each.where("size <= 0").select("profile", "item", F.lit(0).alias("part"), F.lit(None).cast("long").alias("container"), F.lit(None).cast("int").alias("position"), F.lit(None).cast("int").alias("start"), F.lit(0).alias("length"))
+    placed = ranked.mapInArrow(_place(runs), f"profile string, item {kind_of_item}, part int, container long, position int, start long, length long")
+    empty = each.where("size <= 0").select("profile", "item", F.lit(0).alias("part"), F.lit(None).cast("long").alias("container"), F.lit(None).cast("int").alias("position"), F.lit(None).cast("long").alias("start"), F.lit(0).cast("long").alias("length"))
     return placed.unionByName(empty)
 
 
 def fill_report(packed: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(profile, capacity, items, containers, tokens, least, filled): how well each profile's containers are filled;
-    `least` is the number of containers no packing can go below, `filled` the share of room that is used."""
-    of = packed.groupBy("profile").agg(F.count("container").alias("items"), (F.coalesce(F.max("container"), F.lit(-1)) + 1).alias("containers"), F.sum(F.col("length").cast("long")).alias("tokens"))
+    """(profile, capacity, items, parts, containers, tokens, least, filled): how well each profile's containers are
+    filled; `items` are those that take room, `parts` the pieces they lie in, `least` is the number of containers no
+    packing can go below, `filled` the share of room that is used."""
+    of = packed.groupBy("profile").agg(F.count(F.when((F.col("part") == 0) & F.col("container").isNotNull(), 1)).alias("items"), F.count("container").alias("parts"), (F.coalesce(F.max("container"), F.lit(-1)) + 1).alias("containers"), F.sum("length").alias("tokens"))
     room = F.col("containers") * F.col("capacity")
     return of.join(F.broadcast(profiles.select("profile", "capacity").distinct()), "profile").select(
-        "profile", "capacity", "items", "containers", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).alias("least"), F.when(room > 0, F.round(F.col("tokens") / room, 6)).alias("filled")
+        "profile", "capacity", "items", "parts", "containers", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).alias("least"), F.when(room > 0, F.round(F.col("tokens") / room, 6)).alias("filled")
     )

@@ -94,3 +94,31 @@ def test_empty(spark):
     profiles = spark.createDataFrame([("p", 10)], "profile string, capacity int")
     assert P.pack(df, profiles, "doc", "n").count() == 0
     assert P.pack(spark.createDataFrame([(1, 5)], "doc long, n long"), profiles.limit(0), "doc", "n").count() == 0
+
+
+def test_a_capacity_of_more_lengths_than_classes(spark, monkeypatch):
+    monkeypatch.setattr(P, "MOST_LENGTHS", 64)
+    rng = random.Random(7)
+    sizes = [(i, rng.randrange(1, 400)) for i in range(400)] + [(900, 1003), (901, 1000), (902, 999)]
+    df = spark.createDataFrame(sizes, "doc long, n long").repartition(3)
+    rows = P.pack(df, spark.createDataFrame([("p", 1000)], "profile string, capacity int"), "doc", "n").collect()
+    containers = defaultdict(list)
+    for r in rows:
+        containers[r["container"]].append((r["position"], r["start"], r["length"]))
+    assert sorted(containers) == list(range(len(containers)))
+    for own in containers.values():
+        own.sort()
+        assert [p for p, _, _ in own] == list(range(len(own)))
+        assert all(a + n <= b for (_, a, n), (_, b, _) in zip(own, own[1:], strict=False)) and own[-1][1] + own[-1][2] <= 1000
+    held = Counter()
+    for r in rows:
+        held[r["item"]] += r["length"]
+    assert held == dict(sizes) and max(r["part"] for r in rows) == 1
+    assert len(containers) <= 1.1 * sum(n for _, n in sizes) / 1000
+
+
+def test_report_tells_items_from_parts(spark):
+    profiles = spark.createDataFrame([("p", 10)], "profile string, capacity int")
+    packed = P.pack(spark.createDataFrame([(1, 25), (2, 5), (3, 0)], "doc long, n long"), profiles, "doc", "n")
+    r = P.fill_report(packed, profiles).first()
+    assert (r["items"], r["parts"], r["containers"], r["tokens"], r["least"]) == (2, 4, 3, 30, 3)
