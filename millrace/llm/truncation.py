@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from millrace.session import ship, written
+from millrace.operators.skew import join_hot
+from millrace.session import discard, ship, written
 
 
 #: Depth of the shape contexts (word classes and punctuation, read backward) and of the character contexts.
@@ -36,13 +37,12 @@ TAIL, BLOCK_CHARS, PIECE = 200, 1 << 18, 1 << 18
 NEAR, AROUND = 15, 64
 #: Rate of cuts assumed away from limits, and its weight in texts, against what a source shows, and a source's rate
 #: against what one of its languages shows.
-RATE, RATE_WEIGHT, STRAY_RATE = 0.03, 20.0, 0.85
-#: How much likelier a text cut at a limit ends in white space than a whole one.
-LOOSE = 3.0
+RATE, RATE_WEIGHT = 0.03, 20.0
+#: A length holds a limit if it has over so many times the texts that the lengths around let expect.
+MANY = 5
 #: Rate taken in the first rounds, in which only clear ends are to train the model: ends as observed are mixed with cuts,
 #: so that at the true rate a cut would look no worse than even.
 DOUBT, DOUBTING, ROUNDS = 0.3, 2, 5
-MARKS = ("...", "\u2026")
 #: White space (as Python has it) and broken characters, which behind the end of a text don't count.
 BEHIND = "".join(c for c in map(chr, range(0x10000)) if c.isspace()) + "\ufffd"
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -226,14 +226,15 @@ def repaired(text: str) -> str:
     return text.replace("\ufffd", "e").replace("\u2019", "'")
 
 
-def ending(text: str) -> tuple[str, str]:
-    """The last characters of a text without white space and broken characters behind them, and the same without a mark
-    of omission."""
-    end = text[-4 * TAIL :].rstrip().rstrip("\ufffd").rstrip()[-TAIL:]
-    bare = end
-    for mark in MARKS:
-        bare = bare.removesuffix(mark)
-    return repaired(end), repaired(bare.rstrip())
+def ending(text: str) -> tuple[str, str, str]:
+    """The last characters of a text without white space and broken characters behind them; the same without the run of
+    marks (neither letters nor digits nor white space) at the end; and that run."""
+    end = text[-4 * TAIL :].rstrip(BEHIND)[-TAIL:]
+    k = len(end)
+    while k and not (end[k - 1].isalnum() or end[k - 1].isspace() or unicodedata.combining(end[k - 1])):
+        k -= 1
+    bare = end[:k].rstrip(BEHIND)
+    return repaired(end), repaired(bare), end[k:] if bare else ""
 
 
 def _blocks(batch: pa.RecordBatch, size: int) -> Iterator[slice]:
@@ -249,19 +250,23 @@ def _blocks(batch: pa.RecordBatch, size: int) -> Iterator[slice]:
         yield slice(start, len(lengths))
 
 
+#: What is kept of a text beside its end.
+ABOUT = ("id", "code", "lang", "same", "n", "nb", "stray", "loose")
+
+
 def _find_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             code = part.column("code").to_numpy()
-            pairs = [ending(t) for t in part.column("tail").to_pylist()]
+            found = [ending(t) for t in part.column("tail").to_pylist()]
             out = []
             for which in (0, 1):
-                p = Positions([x[which] for x in pairs], code)
+                p = Positions([x[which] for x in found], code)
                 keys = np.stack(list(p.keys(np.maximum(p.last, p.first - 1))), axis=1).view(np.int64)
                 out.append(pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, KEYS), pa.int32()), pa.array(keys.ravel())))
-            marked = pa.array([a != b for a, b in pairs])
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "code", "lang", "same", "n", "nb", "stray", "loose")), marked, *out], names=["id", "code", "lang", "same", "n", "nb", "stray", "loose", "marked", "keys", "bare"])
+            runs = pa.array([run or None for _, _, run in found], pa.string())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ABOUT), runs, *out], names=[*ABOUT, "run", "keys", "bare"])
 
 
 def _inner_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Positions, np.ndarray]]:
@@ -322,26 +327,22 @@ class Model(NamedTuple):
     inside: np.ndarray
     ends: np.ndarray
     kinds: np.ndarray
-    rates: dict[tuple[int, str], float]
 
+    def facts(self, at: np.ndarray, hit: np.ndarray) -> list[np.ndarray]:
+        """Those numbers for contexts (KEYS a row) found at `at`; 0, 0 and 1 where not `hit`."""
+        if not len(self.keys):
+            return [np.full(hit.shape, x) for x in (0.0, 0.0, 1.0)]
+        return [np.where(hit, x[at], other) for x, other in ((self.inside, 0), (self.ends, 0.0), (self.kinds, 1))]
 
-def log_odds(model: Model, keys: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
-    """Evidence that texts with these context keys (a row each) ended there, against having been cut there.
+
+def _evidence(inside: np.ndarray, ends: np.ndarray, kinds: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """Evidence that texts ended there, against having been cut there, by `facts` of their contexts (a row each).
 
     Going backward from the end, each symbol adds the log of its probability at ends over that inside texts, given the
     symbols behind it. Where ends show too little, the probability inside texts is the estimate, and the symbol adds
     nothing; how much is too little depends on how varied the continuations are. `weight` is what the text itself
     adds to the model and is taken out.
     """
-    if not len(model.keys):
-        return np.zeros(len(keys))
-    at = np.minimum(np.searchsorted(model.keys, keys.view(np.uint64)), len(model.keys) - 1)
-    known = model.keys[at] == keys.view(np.uint64)
-    return _evidence(np.where(known, model.inside[at], 0), np.where(known, model.ends[at], 0.0), np.where(known, model.kinds[at], 1), weight)
-
-
-def _evidence(inside: np.ndarray, ends: np.ndarray, kinds: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
-    """`log_odds` of what the model has for the contexts (KEYS a row; 0, 0 and 1 where it has none)."""
     own = np.zeros(len(inside)) if weight is None else weight
     inside, ends, kinds = inside.astype(float), np.maximum(ends - own[:, None], 0.0), np.maximum(kinds, 1).astype(float)
     total = np.zeros(len(inside))
@@ -358,76 +359,84 @@ def _evidence(inside: np.ndarray, ends: np.ndarray, kinds: np.ndarray, weight: n
     return np.clip(total, -30, 30)
 
 
-def _whole(model: Model, batch: pa.RecordBatch) -> tuple[np.ndarray, list, np.ndarray]:
-    """The chance that each text is whole, its group (source, language; none where the length decides the rate), and its keys."""
-    keys = batch.column("keys").flatten().to_numpy().reshape(-1, KEYS)
-    return *_chance(log_odds(model, keys, batch.column("weight").to_numpy()), model.rates, batch), keys
+def _chance(odds: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The chance that each text is whole, by its log-odds and the rate of cuts among texts like it, `prior`; and how
+    much likelier (in logs) its end is if texts of its length are cut as often as `given` than if cuts are as rare as
+    anywhere, 0 where no rate is given."""
+    rate, given = batch.column("prior").to_numpy(), pc.fill_null(batch.column("given"), RATE).to_numpy()
+    ratio = np.exp(odds)
+    return 1 / (1 + np.exp(-(odds + np.log((1 - rate) / rate)))), np.log((given + (1 - given) * ratio) / (RATE + (1 - RATE) * ratio))
 
 
-def _chance(odds: np.ndarray, rates: dict[tuple[int, str], float], batch: pa.RecordBatch) -> tuple[np.ndarray, list]:
-    """The chance that each text is whole, and its group."""
-    given = batch.column("rate").to_numpy(zero_copy_only=False)
-    groups = [(c, g) if r != r else None for c, g, r in zip(batch.column("code").to_pylist(), batch.column("lang").to_pylist(), given, strict=True)]
-    rate = np.array([r if g is None else rates.get(g, RATE if rates else DOUBT) for g, r in zip(groups, given, strict=True)])
-    return 1 / (1 + np.exp(-(odds + np.log((1 - rate) / rate)))), groups
+#: What `_reestimate` gives: for contexts (no code) the sum of the chances that the texts they end are whole; for groups
+#: (source and language, or texts at one limit) the sum of the chances to be cut, the texts that train, all with their
+#: copies, and how much likelier their ends are with the limit than without.
+SUMS = "key long, code long, a double, b double, c double, d double"
 
 
 def _reestimate(content):
-    """Sums, per context, of the chances that the texts it ends are whole; and rates per group."""
+    """`SUMS` of one task's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = content.value
-        ends = np.zeros(len(model.keys))
-        rates: dict[tuple, list[float]] = {}
+        lookup, ends, names = Lookup(model.keys), np.zeros(len(model.keys)), ["key", "code", "a", "b", "c", "d"]
         for batch in batches:
-            whole, groups, keys = _whole(model, batch)
-            at = np.minimum(np.searchsorted(model.keys, keys.view(np.uint64)), max(0, len(model.keys) - 1))
-            known = model.keys[at] == keys.view(np.uint64) if len(model.keys) else np.zeros(keys.shape, bool)
-            ends += np.bincount(at[known], weights=np.broadcast_to(whole[:, None], keys.shape)[known], minlength=len(ends))
-            for g, w in zip(groups, whole, strict=True):
-                if g is not None:
-                    r = rates.setdefault(g, [0.0, 0.0])
-                    r[0] += 1 - w
-                    r[1] += 1
+            keys = batch.column("keys").flatten().to_numpy().view(np.uint64).reshape(-1, KEYS)
+            at, hit = lookup.find(keys.ravel())
+            whole, gain = _chance(_evidence(*model.facts(at.reshape(keys.shape), hit.reshape(keys.shape)), batch.column("weight").to_numpy()), batch)
+            ends += np.bincount(at[hit], np.repeat(whole, KEYS)[hit], len(ends))
+            group, first, which = np.unique(batch.column("grp").to_numpy(), return_index=True, return_inverse=True)
+            sums = (np.bincount(which, w, len(group)) for w in (1 - whole, None, batch.column("copies").to_numpy(), gain))
+            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(batch.column("code").to_numpy()[first]), *(pa.array(x.astype(float)) for x in sums)], names=names)
         some = np.flatnonzero(ends)
-        g, no = list(rates), [None] * len(some)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([*model.keys[some].view(np.int64).tolist(), *(x[0] for x in g)], pa.int64()),
-                pa.array([*no, *(x[1] for x in g)], pa.string()),
-                pa.array([*ends[some].tolist(), *(rates[x][0] for x in g)], pa.float64()),
-                pa.array([*([0.0] * len(some)), *(rates[x][1] for x in g)], pa.float64()),
-            ],
-            names=["key", "lang", "a", "b"],
-        )
+        none = np.zeros(len(some))
+        yield pa.RecordBatch.from_arrays([pa.array(model.keys[some].view(np.int64)), pa.nulls(len(some), pa.int64()), pa.array(ends[some]), *[pa.array(none)] * 3], names=names)
 
     return run
 
 
 def _score(content):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = content.value
+        lookup = Lookup(model.keys)
         for batch in batches:
-            whole, _, _ = _whole(content.value, batch)
+            keys = batch.column("keys").flatten().to_numpy().view(np.uint64).reshape(-1, KEYS)
+            at, hit = lookup.find(keys.ravel())
+            whole, _ = _chance(_evidence(*model.facts(at.reshape(keys.shape), hit.reshape(keys.shape)), batch.column("weight").to_numpy()), batch)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("same"), pa.array(whole)], names=["id", "same", "whole"])
 
     return run
 
 
-def _weigh(rates: dict[tuple[int, str], float]):
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The chance that each text is whole, by what `_looked_up` found of its contexts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known = batch.column("known")
-            row, flat = pc.list_parent_indices(known).to_numpy(), known.flatten()
-            at = row, flat.field("at").to_numpy()
-            facts = [np.full((batch.num_rows, KEYS), x) for x in (0.0, 0.0, 1.0)]
-            for values, name in zip(facts, ("inside", "ends", "kinds"), strict=True):
-                values[at] = flat.field(name).to_numpy()
-            whole, groups = _chance(_evidence(*facts, batch.column("weight").to_numpy()), rates, batch)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "code", "lang", "same", "keys")), pa.array([g is not None for g in groups]), pa.array(whole)], names=["id", "code", "lang", "same", "keys", "free", "whole"])
-
-    return run
+    for batch in batches:
+        known = batch.column("known")
+        row, flat = pc.list_parent_indices(known).to_numpy(), known.flatten()
+        at = row, flat.field("at").to_numpy()
+        facts = [np.full((batch.num_rows, KEYS), x) for x in (0.0, 0.0, 1.0)]
+        for values, name in zip(facts, ("inside", "ends", "kinds"), strict=True):
+            values[at] = flat.field(name).to_numpy()
+        whole, gain = _chance(_evidence(*facts, batch.column("weight").to_numpy()), batch)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(whole), pa.array(gain)], names=["row", "whole", "gain"])
+
+
+def _rates(sums: DataFrame) -> DataFrame:
+    """(grp, rate, texts) of `SUMS`: the rate of cuts of each source and language, drawn to its source's, and that to
+    the general one. It is null for texts at a limit, which have theirs by length, if their ends are likelier with the
+    limit; if not, so many texts are of that length for another reason, and they are a group like others."""
+    of = W.partitionBy("code")  # the languages of a source, by two letters, and its limits
+    away = lambda x: F.coalesce(F.sum(F.when(F.col("d") <= 0, F.col(x))).over(of), F.lit(0.0))
+    source = (RATE * RATE_WEIGHT + away("a")) / (RATE_WEIGHT + away("b"))
+    rate = F.least(F.greatest((F.col("a") + RATE_WEIGHT * source) / (F.col("b") + RATE_WEIGHT), F.lit(0.002)), F.lit(0.9))
+    return sums.where("code is not null").select(F.col("key").alias("grp"), F.when(F.col("d") <= 0, rate).alias("rate"), F.col("c").cast("long").alias("texts"))
+
+
+def _with_prior(texts: DataFrame, rates: DataFrame | None, total: int) -> DataFrame:
+    """The texts with `prior`, the rate of cuts among texts like them: by their length, else by their group."""
+    if rates is None:
+        return texts.withColumn("prior", F.coalesce("given", F.lit(DOUBT)))
+    return join_hot(texts, rates, "grp", "texts", total, F.col("row")).withColumn("prior", F.coalesce("rate", "given", F.lit(RATE)))
 
 
 def _looked_up(texts: DataFrame, table: DataFrame, hot: int) -> DataFrame:
@@ -443,62 +452,94 @@ def _looked_up(texts: DataFrame, table: DataFrame, hot: int) -> DataFrame:
     return texts.join(known, "row", "left")
 
 
-def _rates(per: list[tuple[int, str, float, float]]) -> dict[tuple[int, str], float]:
-    """The rate of each group (source, language), of the sum of its chances to be cut and its number of texts."""
-    total: dict[int, list[float]] = {}
-    for c, _, x, n in per:
-        t = total.setdefault(c, [RATE * RATE_WEIGHT, RATE_WEIGHT])
-        t[0] += x
-        t[1] += n
-    return {(c, g): min(max((x + RATE_WEIGHT * total[c][0] / total[c][1]) / (n + RATE_WEIGHT), 0.002), 0.9) for c, g, x, n in per}
-
-
-def _scored_by_table(base: DataFrame, train: DataFrame, ends: DataFrame, table: DataFrame, start: Column, hot: int, kind: str) -> DataFrame:
+def _scored_by_table(base: DataFrame, train: DataFrame, ends: DataFrame, contexts: DataFrame, start: Column, n: int) -> DataFrame:
     """(id, same, whole) with the model (key, n, w, kinds) as a table: the same as with a broadcast one, by joins."""
-    spark = base.sparkSession
+    spark, hot = base.sparkSession, n // HOT + 1
+    table = written(contexts)
     first = table.select(F.shiftrightunsigned("key", 64 - SIFT).cast("int").alias("first")).distinct().toArrow().column("first").to_numpy()
     near = np.zeros(1 << SIFT, bool)
     near[first] = True
     content = spark.sparkContext.broadcast(near)
     inner = base.select("code", "text").mapInArrow(_inner_keys(content), "key long, n long").groupBy("key").agg(F.sum("n").alias("inside"))
-    facts = written(table.join(inner, "key", "left").select("key", "n", "w", "kinds", F.coalesce("inside", F.lit(0)).cast("double").alias("inside")))
-    model, rates = facts.withColumn("ends", F.col("w")), {}
-    weigh = lambda texts, weight: written(_looked_up(texts.withColumn("weight", weight), model.withColumn("kinds", F.col("kinds").cast("double")), hot).mapInArrow(_weigh(rates), f"id {kind}, code long, lang string, same string, keys array<long>, free boolean, whole double"))
+    facts = written(table.join(inner, "key", "left").select("key", "n", "w", F.col("kinds").cast("double").alias("kinds"), F.coalesce("inside", F.lit(0)).cast("double").alias("inside")))
+    model, rates, old = facts.withColumn("ends", F.col("w")), None, []
+    weigh = lambda texts, weight: written(_looked_up(_with_prior(texts, rates, n).withColumn("weight", weight), model, hot).select("row", "known", "given", "prior", "weight").mapInArrow(_weigh, "row long, whole double, gain double"))
     for step in range(ROUNDS):
         weighed = weigh(train, start if step == 0 else F.lit(1.0))
-        sums = weighed.select(F.explode("keys").alias("key"), "whole").groupBy("key").agg(F.sum("whole").alias("ends"))
-        per = weighed.where("free").groupBy("code", "lang").agg(F.sum(1 - F.col("whole")).alias("a"), F.count("*").alias("b")).collect()  # a row a group
-        model = written(facts.join(sums, "key", "left").select("key", "n", "kinds", "inside", F.coalesce("ends", F.lit(0.0)).alias("ends")))
-        rates = _rates([tuple(r) for r in per]) if step >= DOUBTING - 1 else {}
-    return weigh(ends, F.lit(1.0)).select("id", "same", "whole")
+        both = train.join(weighed, "row")
+        of = written(both.select(F.explode("keys").alias("key"), "whole").groupBy("key").agg(F.sum("whole").alias("ends")))
+        model = written(facts.join(of, "key", "left").select("key", "n", "kinds", "inside", F.coalesce("ends", F.lit(0.0)).alias("ends")))
+        sums = written(both.groupBy(F.col("grp").alias("key"), "code").agg(F.sum(1 - F.col("whole")).alias("a"), F.count("*").cast("double").alias("b"), F.sum("copies").alias("c"), F.sum("gain").alias("d")))
+        rates = _rates(sums) if step >= DOUBTING - 1 else None
+        for x in old:
+            discard(x)
+        old = [weighed, of, model, sums]
+    return ends.select("row", "id", "same").join(weigh(ends, F.lit(1.0)), "row").select("id", "same", "whole")
 
 
 def limits(ends: DataFrame) -> DataFrame:
-    """(code, unit, size, most, rate): the lengths, in characters (unit 0) or bytes (1), at which a source cuts, where
-    its lengths show some, and the share of cuts among the texts of each such length.
-
-    Looked for is the length L at which, or up to which within `NEAR` below, stand far more texts than the stretches to
-    both sides let expect (`most`). The excess of a single length gives its share; lengths below L have at least that
-    of all of them together, their most frequent one left out, as cuts at whole words are spread over many lengths.
+    """(code, unit, size, limit, rate, texts): the lengths, in characters (unit 0) or bytes (1), at which a source cuts,
+    where its lengths show some, a number for the limit and for whether it is reached, the share of cuts among the texts
+    of each such length, and how many rows those are.
+
+    Looked for are lengths L at which, or up to which within `NEAR` below, stand far more different texts than the
+    stretches to both sides let expect. The excess of a single length gives its share; lengths below L have at least
+    that of all of them together, their most frequent one left out, as cuts at whole words are spread over many
+    lengths. A source cuts in the unit that shows the greatest excess, and may have several limits more than `NEAR`
+    apart. A text of no known source (`stray`) is taken as any text of such a length, from all sources together.
     Lengths are counted first, so windows go over different lengths of a source only.
     """
-    each = ends.select("code", F.inline(F.array(F.struct(F.lit(0).alias("unit"), F.col("n").alias("size")), F.struct(F.lit(1).alias("unit"), F.col("nb").alias("size")))))
-    counted = written(each.groupBy("code", "unit", "size").agg(F.count("*").alias("c")))
+    texts = ends.groupBy("code", "stray", "same", "n", "nb").agg(F.count("*").alias("copies"))
+    each = texts.select("code", "stray", "copies", F.inline(F.array(F.struct(F.lit(0).alias("unit"), F.col("n").alias("size")), F.struct(F.lit(1).alias("unit"), F.col("nb").alias("size")))))
+    counted = written(each.groupBy("code", "stray", "unit", "size").agg(F.count("*").alias("c"), F.sum("copies").alias("texts")))
+    own = counted.where("not stray").drop("stray")
     w = W.partitionBy("code", "unit").orderBy("size")
     within = lambda f, a, b: F.coalesce(f("c").over(w.rangeBetween(a, b)), F.lit(0))
-    around = counted.select("code", "unit", "size", "c", within(F.sum, -NEAR, -1).alias("near"), within(F.max, -NEAR, -1).alias("peak"), within(F.sum, -NEAR - AROUND, -NEAR - 1).alias("before"), within(F.sum, 1, AROUND).alias("after"))
+    around = own.select("code", "unit", "size", "c", within(F.sum, -NEAR, -1).alias("near"), within(F.max, -NEAR, -1).alias("peak"), within(F.sum, -NEAR - AROUND, -NEAR - 1).alias("before"), within(F.sum, 1, AROUND).alias("after"))
     per = F.greatest(F.col("before"), F.col("after")) / AROUND  # texts a length
     here = F.col("c") + F.col("near")
-    spike = F.when((F.col("c") >= 6) & (F.col("c") >= 5 * F.greatest(per, F.col("near") / NEAR) + 3), F.col("c") - per).otherwise(0.0)
-    ramp = F.when((here >= 6) & (here >= 6 * ((NEAR + 1) * per + 1)), 0.8 * (here - (NEAR + 1) * per)).otherwise(0.0)
-    best = F.row_number().over(W.partitionBy("code").orderBy(F.desc("excess"), "unit", "size"))
-    share = lambda n, expected: F.least(F.greatest(F.when(n > 0, 1 - (expected + F.sqrt(expected)) / n).otherwise(0.0), F.lit(RATE)), F.lit(0.995))
+    spike = F.when((F.col("c") > MANY) & (F.col("c") >= MANY * F.greatest(per, F.col("near") / NEAR) + 3), F.col("c") - per).otherwise(0.0)
+    ramp = F.when((here > MANY) & (here >= (MANY + 1) * ((NEAR + 1) * per + 1)), here - (NEAR + 1) * per).otherwise(0.0)
+    share = lambda n, expected: F.least(F.greatest(F.when(n > 0, 1 - (expected + F.sqrt(expected)) / n).otherwise(0.0), F.lit(RATE)), F.lit(0.998))
     density = F.greatest(F.col("before") / AROUND, F.lit(0.05))
-    clear = around.withColumn("excess", F.greatest(spike, ramp)).where("excess > 0").withColumn("r", best).where("r = 1")
+    clear = around.withColumn("excess", F.greatest(spike, ramp)).where("excess > 0")
+    unit = F.first("unit").over(W.partitionBy("code").orderBy(F.desc("excess"), "unit", "size"))
+    most = F.max(F.struct("excess", -F.col("size"))).over(w.rangeBetween(-NEAR, NEAR))
+    clear = clear.withColumn("best", unit).withColumn("most", most).where((F.col("best") == F.col("unit")) & (F.col("most") == F.struct("excess", -F.col("size"))))
     clear = clear.select("code", "unit", F.col("size").alias("most"), density.alias("density"), share(F.col("near") - F.col("peak"), (NEAR - 1) * density).alias("spread"))
-    lengths = counted.join(clear, ["code", "unit"]).where(F.col("size").between(F.col("most") - NEAR, F.col("most")))
+    lengths = own.join(clear, ["code", "unit"]).where(F.col("size").between(F.col("most") - NEAR, F.col("most")))
     alone = share(F.col("c"), F.col("density"))
-    return lengths.select("code", "unit", "size", "most", F.when(F.col("size") == F.col("most"), alone).otherwise(F.greatest(alone, F.col("spread"))).alias("rate"))
+    lengths = lengths.withColumn("rate", F.when(F.col("size") == F.col("most"), alone).otherwise(F.greatest(alone, F.col("spread"))))
+    limit = F.xxhash64("code", "unit", "most", F.col("size") == F.col("most"))
+    found = written(lengths.groupBy("code", "unit", "size").agg(F.max_by(limit, "rate").alias("limit"), F.max("rate").alias("rate"), F.max("texts").alias("texts")))
+    any_source = own.join(found.select("code", "unit", "size", "rate"), ["code", "unit", "size"], "left").groupBy("unit", "size").agg((F.sum(F.col("c") * F.coalesce("rate", F.lit(RATE))) / F.sum("c")).alias("rate"), F.count("rate").alias("k")).where("k > 0").drop("k")
+    return found.unionByName(counted.where("stray").join(any_source, ["unit", "size"]).select("code", "unit", "size", F.xxhash64("code", "unit", F.lit(-1)).alias("limit"), "rate", "texts"))
+
+
+def _placed(raw: DataFrame, n: int) -> DataFrame:
+    """(row, id, code, grp, same, given, keys): the ends, with the chance to be cut that a text's length gives, if any.
+
+    At a limit, it is weighed with white space at the end of the field, which cuts have more often or less; and a run
+    of marks at the end that cuts at limits have more often than other texts (points or an ellipsis, say) was put
+    behind the cut, so what is before it counts. Both are estimated from all texts.
+    """
+    known = written(limits(raw))
+    placed = raw
+    for unit, size in ((0, "n"), (1, "nb")):
+        table = known.where(F.col("unit") == unit).select(F.xxhash64("code", "size").alias("slot"), F.struct("rate", "limit").alias(f"at_{unit}"), "texts")
+        placed = join_hot(placed.withColumn("slot", F.xxhash64("code", size)), table, "slot", "texts", n, F.col("row")).drop("slot")
+    at = F.coalesce("at_0", "at_1")
+    placed = placed.withColumns({"rate": at["rate"], "limit": at["limit"]}).drop("at_0", "at_1")
+    cut, whole = F.coalesce("rate", F.lit(0.0)), 1 - F.coalesce("rate", F.lit(RATE))
+    share = lambda x: (F.sum(F.when(F.col("loose"), x).otherwise(0.0)) + 1) / (F.sum(x) + 2)
+    loose = placed.agg(share(cut).alias("cut"), share(whole).alias("whole"), F.sum(cut).alias("n_cut"), F.sum(whole).alias("n_whole")).first()
+    p, q = (x if x else 0.5 for x in (loose["cut"], loose["whole"]))
+    odds = F.col("rate") / (1 - F.col("rate")) * F.when(F.col("loose"), p / q).otherwise((1 - p) / (1 - q))
+    marks = placed.where("run is not null").groupBy("run").agg(F.sum(cut).alias("a"), F.sum(whole).alias("b"), F.count("*").alias("texts"))
+    marks = written(marks.where(F.col("a") * F.lit((loose["n_whole"] or 0.0) + 1) > (F.col("b") + 1) * F.lit((loose["n_cut"] or 0.0) + 1)).select("run", F.lit(True).alias("put"), "texts"))
+    placed = join_hot(placed.withColumn("given", odds / (1 + odds)), marks, "run", "texts", n, F.col("row"))
+    keys = F.when((F.col("given") > 0.5) & F.col("put"), F.col("bare")).otherwise(F.col("keys"))
+    return placed.select("row", "id", "code", F.coalesce("limit", F.xxhash64("code", "lang")).alias("grp"), "same", "given", keys.alias("keys"))
 
 
 def _language(lang: Column) -> Column:
@@ -511,80 +552,76 @@ def truncated_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A backward n-gram model (word shapes within the source and over all, characters below them) compares how likely a
     text's last symbols are at an end and inside texts. Counts cover all texts and all positions. The ends are mixed
     with cuts, so they are weighed by the chance of being whole, in `ROUNDS` rounds, together with the rate of cuts of
-    each source and language, which sets the threshold of the log-odds. For texts as long as the limit of their source,
-    or just shorter, the rate is the excess of such lengths. Copies within a source, alike but for white space at the end, train the model once. White space, broken characters and, at a limit, a mark of omission behind
-    the end don't count. All copies of a text get the verdict cut if one does.
-
-    A null source or language is one of its own. Contexts that end `LEAST` texts are kept, at every size. The driver
-    holds a rate for each source and language, and a model of at most KEYS * CAPACITY contexts; a larger one stays a
-    table.
+    each source and language, which sets the threshold of the log-odds. For texts as long as a limit of their source,
+    or just shorter, the rate is the excess of such lengths, if the ends of all texts at that limit bear it out. Copies within a source, alike but for white space and
+    broken characters at the end, which don't count, train the model once. All copies of a text get the verdict cut if
+    one does.
+
+    A null source or language is one of its own. Contexts that end `LEAST` texts are kept, at every size. Rates and
+    limits are tables, joined to the texts. The driver holds a model of at most KEYS * CAPACITY contexts; a larger one
+    stays a table too.
     """
     spark = docs.sparkSession
     ship(spark)
     trimmed = F.rtrim(F.col(text), F.lit(BEHIND))
     base = docs.where(F.col(text).isNotNull() & (trimmed != "")).select(
-        F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(source).cast("string"), F.lit(""))).alias("code"), _language(F.col(lang)).alias("lang"), F.md5(trimmed.cast("binary")).alias("same"), F.length(text).cast("long").alias("n"), F.octet_length(text).cast("long").alias("nb"), F.col(source).isNull().alias("stray"), F.substring(text, -1, 1).rlike(r"\s").alias("loose"), F.col(text).alias("text")
+        F.col(doc_id).alias("id"), F.xxhash64(F.col(source).cast("string")).alias("code"), _language(F.col(lang)).alias("lang"), F.md5(trimmed.cast("binary")).alias("same"), F.length(text).cast("long").alias("n"), F.octet_length(text).cast("long").alias("nb"), F.col(source).isNull().alias("stray"), F.substring(text, -1, 1).rlike(r"\s").alias("loose"), F.col(text).alias("text")
     )
     id_type = base.schema["id"].dataType.simpleString()
-    tails = base.select("id", "code", "lang", "same", "n", "nb", "stray", "loose", F.substring(F.rtrim("text", F.lit(BEHIND)), -4 * TAIL, 4 * TAIL).alias("tail"))
-    raw = written(tails.mapInArrow(_find_ends, f"id {id_type}, code long, lang string, same string, n long, nb long, stray boolean, loose boolean, marked boolean, keys array<long>, bare array<long>"))
+    tails = base.select(*ABOUT, F.substring(F.rtrim("text", F.lit(BEHIND)), -4 * TAIL, 4 * TAIL).alias("tail"))
+    kinds = f"id {id_type}, code long, lang string, same string, n long, nb long, stray boolean, loose boolean, run string, keys array<long>, bare array<long>"
+    raw = written(tails.mapInArrow(_find_ends, kinds).withColumn("row", F.monotonically_increasing_id()))
+    n = raw.count()
+    ends = written(_placed(raw, n))
+    one = F.struct("row", "grp", "given", "keys")
+    train = written(ends.groupBy("code", "same").agg(F.min_by(one, "row").alias("f"), F.count("*").alias("copies")).select("code", "f.*", "copies"))
 
-    known = written(limits(raw.where("not stray")))
-    small = known.count() <= 100_000  # some rows a source
-    sized = lambda df: F.broadcast(df) if small else df
-    placed = raw
-    for unit, size in ((0, "n"), (1, "nb")):
-        own = known.where(F.col("unit") == unit)
-        placed = placed.join(sized(own.select("code", F.col("size").alias(size), F.col("rate").alias(f"rate_{unit}"))), ["code", size], "left")
-        placed = placed.join(sized(own.select(F.col("most").alias(size), F.lit(True).alias(f"stray_{unit}")).distinct()), size, "left")
-    rate = F.when(F.col("stray"), F.when(F.coalesce("stray_0", "stray_1", F.lit(False)), STRAY_RATE)).otherwise(F.coalesce("rate_0", "rate_1"))
-    placed = placed.withColumn("rate", rate).withColumn("rate", F.when(F.col("loose") & (F.col("rate") > 0.5), LOOSE * F.col("rate") / (1 + (LOOSE - 1) * F.col("rate"))).otherwise(F.col("rate")))
-    ends = written(placed.select(F.monotonically_increasing_id().alias("row"), "id", "code", "lang", "same", F.coalesce("rate", F.lit(float("nan"))).alias("rate"), F.when((F.col("rate") > 0.5) & F.col("marked"), F.col("bare")).otherwise(F.col("keys")).alias("keys")))
-    train = written(ends.dropDuplicates(["code", "same"]))
-
-    n_texts = train.count()
     parents = F.array(*[F.lit(p) for p in PARENT])
     pair = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.when(F.get(parents, i) >= 0, F.get("keys", F.get(parents, i))).alias("parent")))
-    start = F.when(F.isnan("rate"), 1 - RATE).otherwise(1 - F.col("rate"))
+    start = 1 - F.coalesce("given", F.lit(RATE))
     seen = written(train.select(F.inline(pair), start.alias("w")).groupBy("key").agg(F.max("parent").alias("parent"), F.count("*").alias("n"), F.sum("w").alias("w")))
     kinds = seen.where("parent is not null").groupBy(F.col("parent").alias("key")).agg(F.count("*").alias("kinds"))
     kept = seen.where(F.col("n") >= LEAST)
     contexts = kept.join(kinds, "key", "left").select("key", "n", "w", F.coalesce("kinds", F.lit(0)).alias("kinds"))
-    if kept.count() > KEYS * CAPACITY:
-        scored = _scored_by_table(base, train, ends, written(contexts), start, n_texts // HOT + 1, id_type)
-    else:
-        scored = _scored_by_broadcast(base, train, ends, contexts, start, id_type)
-    torn = scored.groupBy("same").agg(F.min("whole").alias("least"), F.max("whole").alias("most")).where("least < 0.5 and most >= 0.5").select("same", F.lit(True).alias("torn"))
-    return scored.join(torn, "same", "left").select("id", "whole", ((F.col("whole") < 0.5) | F.coalesce("torn", F.lit(False))).alias("truncated"))
+    way = _scored_by_table if kept.count() > KEYS * CAPACITY else _scored_by_broadcast
+    scored = written(way(base, train, ends, contexts, start, n))
+    torn = scored.groupBy("same").agg(F.min("whole").alias("least"), F.max("whole").alias("most"), F.count("*").alias("texts")).where("least < 0.5 and most >= 0.5").select("same", F.lit(True).alias("torn"), "texts")
+    both = join_hot(scored, written(torn), "same", "texts", n, F.col("id"))
+    return both.select("id", "whole", ((F.col("whole") < 0.5) | F.coalesce("torn", F.lit(False))).alias("truncated"))
 
 
-def _scored_by_broadcast(base: DataFrame, train: DataFrame, ends: DataFrame, contexts: DataFrame, start: Column, kind: str) -> DataFrame:
+def _scored_by_broadcast(base: DataFrame, train: DataFrame, ends: DataFrame, contexts: DataFrame, start: Column, n: int) -> DataFrame:
     """(id, same, whole) with the model (key, n, w, kinds) in the driver and every worker."""
     spark = base.sparkSession
     table = contexts.select("key", "w", "kinds").toArrow()
     keys = table.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    model = Model(keys[order], np.zeros(len(keys), np.int64), table.column("w").to_numpy()[order], table.column("kinds").to_numpy()[order], {})
+    model = Model(keys[order], np.zeros(len(keys), np.int64), table.column("w").to_numpy()[order], table.column("kinds").to_numpy()[order])
+
+    def placed(keys: pa.ChunkedArray, values: pa.ChunkedArray) -> np.ndarray:
+        out = np.zeros(len(model.keys))
+        out[np.searchsorted(model.keys, keys.to_numpy().view(np.uint64))] = values.to_numpy()
+        return out
 
     content = spark.sparkContext.broadcast(model.keys)
     inner = base.select("code", "text").mapInArrow(_inner_counter(content), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    inside = model.inside.copy()
-    inside[np.searchsorted(model.keys, inner.column("key").to_numpy().view(np.uint64))] = inner.column("n").to_numpy()
-    model = model._replace(inside=inside)
-
+    model, rates, old = model._replace(inside=placed(inner.column("key"), inner.column("n"))), None, None
+    content.unpersist()
     for step in range(ROUNDS):
         content = spark.sparkContext.broadcast(model)
-        weighed = train.withColumn("weight", start if step == 0 else F.lit(1.0))
-        sums = weighed.mapInArrow(_reestimate(content), "key long, lang string, a double, b double").groupBy("key", "lang").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
-        group = sums.column("lang").is_valid().to_numpy()
-        code, a, b = (sums.column(c).to_numpy() for c in ("key", "a", "b"))
-        whole = np.zeros(len(model.keys))
-        whole[np.searchsorted(model.keys, code[~group].view(np.uint64))] = a[~group]
-        per = [(int(code[i]), sums.column("lang")[i].as_py(), a[i], b[i]) for i in np.flatnonzero(group)]
-        model = model._replace(ends=whole, rates=_rates(per) if step >= DOUBTING - 1 else {})
+        weighed = _with_prior(train, rates, n).select("code", "grp", "given", "prior", "keys", "copies", (start if step == 0 else F.lit(1.0)).alias("weight"))
+        sums = written(weighed.mapInArrow(_reestimate(content), SUMS).groupBy("key", "code").agg(*[F.sum(x).alias(x) for x in "abcd"]))
+        of = sums.where("code is null").select("key", "a").toArrow()
+        model = model._replace(ends=placed(of.column("key"), of.column("a")))
+        rates = _rates(sums) if step >= DOUBTING - 1 else None
+        if old is not None:
+            discard(old)
+        old = sums
+        content.unpersist()
 
     content = spark.sparkContext.broadcast(model)
-    return written(ends.withColumn("weight", F.lit(1.0)).mapInArrow(_score(content), f"id {kind}, same string, whole double"))
+    texts = _with_prior(ends, rates, n).select("id", "same", "given", "prior", "keys", F.lit(1.0).alias("weight"))
+    return texts.mapInArrow(_score(content), f"id {ends.schema['id'].dataType.simpleString()}, same string, whole double")
 
 
 def truncation_rates(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", source: str = "source") -> DataFrame:

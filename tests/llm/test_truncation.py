@@ -96,9 +96,10 @@ def test_long_texts_in_pieces(monkeypatch):
     assert all(abs(whole[k] - pieces[k]) <= 60 for k in whole)
 
 
-@pytest.mark.parametrize(("text", "end", "bare"), [("Fin.  \n", "Fin.", "Fin."), ("half wo�", "half wo", "half wo"), ("half wo...", "half wo...", "half wo"), ("déjà vu".encode().decode("latin-1"), "déjà vu", "déjà vu"), ("était prê".encode().decode("latin-1")[1:-1], "tait pr", "tait pr"), ("l&#39;été", "l'été", "l'été"), ("the le\u2705dger", "the ledger", "the ledger"), ("fine \U0001f44d", "fine \U0001f44d", "fine \U0001f44d")])
-def test_ending(text, end, bare):
-    assert T.ending(text) == (end, bare)
+@pytest.mark.parametrize(("text", "end", "bare", "run"), [("Fin.  \n", "Fin.", "Fin", "."), ("half wo\ufffd", "half wo", "half wo", ""), ("half wo...", "half wo...", "half wo", "..."), ("half wo \u2026 \n", "half wo \u2026", "half wo", "\u2026"), ("d\u00e9j\u00e0 vu".encode().decode("latin-1"), "d\u00e9j\u00e0 vu", "d\u00e9j\u00e0 vu", ""), ("\u00e9tait pr\u00ea".encode().decode("latin-1")[1:-1], "tait pr", "tait pr", ""), ("l&#39;\u00e9t\u00e9", "l'\u00e9t\u00e9", "l'\u00e9t\u00e9", ""), ("the le\u2705dger", "the ledger", "the ledger", ""), ("fine \U0001f44d", "fine \U0001f44d", "fine", "\U0001f44d"), ("?!", "?!", "", ""), ("cafe\u0301", "cafe\u0301", "cafe\u0301", "")])
+def test_ending(text, end, bare, run):
+    got = T.ending(text)
+    assert (got[0], got[2]) == (end, run) and got[1] == bare.replace("\ufffd", "e")
 
 
 def test_small_sources_keep_their_contexts_and_a_model_may_be_a_table(spark, monkeypatch):
@@ -114,7 +115,7 @@ def test_small_sources_keep_their_contexts_and_a_model_may_be_a_table(spark, mon
 
 def test_any_padding_behind_the_end(spark):
     data, end = [r[:4] for r in corpus(2, 300)], "The ledger watches the harbour near"
-    data += [(9100 + i, end + pad, "wire", "en") for i, pad in enumerate(["", " " * 1000, "\u00a0" * 900 + "\ufffd" * 900 + "\n"])]
+    data += [(9100 + i, end + pad, "wire", "en") for i, pad in enumerate(["", " " * 5000, "\u00a0" * 900 + "\ufffd" * 900 + "\n"])]
     docs = spark.createDataFrame(data, "doc_id long, text string, source string, lang string").repartition(4)
     whole = {r["id"]: r["whole"] for r in T.truncated_texts(docs).where("id >= 9100").collect()}
     assert whole[9101] == pytest.approx(whole[9100]) and whole[9102] == pytest.approx(whole[9100])
@@ -146,3 +147,44 @@ def test_lookup_and_counts_equal_plain_ones():
         total += np.bincount(at, n, len(model))
     plain = np.bincount(np.searchsorted(model, np.concatenate(every)), minlength=len(model))
     assert (total == plain).all()
+
+
+def test_many_small_sources_and_a_wide_field(spark):
+    """Sources of two texts each, beside one of two limits; the rates come by a join either way."""
+    rng = random.Random(11)
+    data = []
+    for i in range(1200):
+        text = " ".join(sentence(rng) for _ in range(rng.randrange(4, 14)))
+        cut, source = False, f"s{i // 2}"
+        if i < 700:
+            source, at = "field", 250 if i < 350 else 420
+            text, cut = text[:at], len(text) > at
+        data.append((i, text, source, "en", cut))
+    got = run(spark, data)
+    true = {r[0] for r in data if r[4]}
+    found = {i for i, t in got.items() if t}
+    assert len(true & found) >= 0.97 * len(true) and len(true & found) >= 0.97 * len(found)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert run(spark, data) == got
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_what_is_put_behind_a_cut_is_seen_at_the_limit(spark):
+    rng = random.Random(12)
+    data = []
+    for i in range(800):
+        text = " ".join(sentence(rng) for _ in range(rng.randrange(2, 10)))
+        cut = i % 2 == 0 and len(text) > 300
+        data.append((i, f"{text[:297]}>>>" if cut else text, "field" if i % 2 == 0 else "wire", "en", cut))
+    got = run(spark, data)
+    assert all(got[r[0]] for r in data if r[4])
+
+
+def test_a_text_of_no_source_goes_by_all_sources(spark):
+    data = corpus(13, 900)
+    at_limit = [r[1] for r in data if r[4] and r[2] == "field"][:5]
+    data += [(9300 + i, t[:299] + "e", None, "en", True) for i, t in enumerate(at_limit)]
+    got = run(spark, data)
+    assert all(got[9300 + i] for i in range(5))
