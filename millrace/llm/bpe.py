@@ -137,3 +137,25 @@ def encode_column(docs: DataFrame, text: str, keep: list[str], tokenizer: str =
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], made], names=kind.names)
 
     return docs.select(*keep, docs[text].alias("_text")).mapInArrow(run, kind)
+
+
+def decode_column(encoded: DataFrame, ids: str, keep: list[str], tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """The columns `keep` plus `text`, what the token ids stand for: their vocabulary strings joined.
+
+    A null or empty list gives an empty text. Bytes that are no text, as of a list cut inside a character, become
+    replacement characters; ids outside the vocabulary raise KeyError.
+    """
+    ship(encoded.sparkSession)
+    content = encoded.sparkSession.sparkContext.broadcast(_rank_file(tokenizer, folder))
+    kind = T.StructType([*encoded.select(*keep).schema.fields, T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = _encoder(content.value).decode
+        for batch in batches:
+            n = batch.num_columns - 1
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = [decode(x or ()) for x in part.column(n).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(texts, pa.string())], names=kind.names)
+
+    return encoded.select(*keep, encoded[ids].alias("_ids")).mapInArrow(run, kind)

@@ -11,7 +11,7 @@ from millrace.llm import bpe, packing, pairs, ranking, terms, truncation
 from millrace.session import spread
 from millrace.sources import load
 
-#: Terms of a record that p3_found, and p3_pairs as its SQL has it, consider.
+#: Terms of a record that p3_found considers.
 FIRST = 40
 
 
@@ -40,11 +40,6 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Every two terms standing among the first 40 of a record: records with both, with each, lift."""
-    return pairs.pair_counts(_collection(spark, d), FIRST).withColumn("lift", F.round("lift", 6))
-
-
-def p3_all_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every two terms standing in the same record, however long: records with both, with each, lift."""
     return pairs.pair_counts(_collection(spark, d)).withColumn("lift", F.round("lift", 6))
 
@@ -74,6 +69,11 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(spread(load(spark, d, "documents").select("doc_id", "text")), "text", ["doc_id"])
 
 
+def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that the token ids of all documents stand for."""
+    return bpe.decode_column(p6_ids(spark, d), "ids", ["doc_id"])
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     sizes = bpe.encode_column(spread(load(spark, d, "documents").select("doc_id", "text")), "text", ["doc_id"], counts_only=True)
     return packing.pack(sizes, load(spark, d, "pack_profiles"), "doc_id", "n_tokens")
@@ -89,6 +89,15 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d), load(spark, d, "pack_profiles"))
 
 
+def p7_chars(spark: SparkSession, d: str) -> DataFrame:
+    """The packing of all documents by their characters: items, parts, characters, fewest and too full containers."""
+    profiles = load(spark, d, "pack_profiles")
+    packed = packing.pack(load(spark, d, "documents").select("doc_id", "n_chars"), profiles, "doc_id", "n_chars")
+    load_of = packed.where("container is not null").groupBy("profile", "container").agg(F.sum("length").alias("load"), F.max(F.col("start") + F.col("length")).alias("end"), F.count("*").alias("k"), F.max("position").alias("last"))
+    checked = load_of.join(F.broadcast(profiles.select("profile", "capacity").distinct()), "profile").groupBy("profile").agg(F.count(F.when((F.col("load") > F.col("capacity")) | (F.col("end") != F.col("load")) | (F.col("last") + 1 != F.col("k")), 1)).alias("wrong"))
+    return packing.fill_report(packed, profiles).withColumnRenamed("tokens", "chars").join(checked, "profile").select("profile", "items", "parts", "chars", "least", "wrong")
+
+
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     return spread(load(spark, d, "documents").select("doc_id", "text", "source", "lang"))
 
@@ -103,4 +112,11 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_rates(docs, truncation.truncated_texts(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_scores, p3_found, p3_pairs, p3_all_pairs, p5_found, p5_top, p6_ids, p7_packing, p7_fill, p8_found, p8_sources)}
+def p8_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of each source that the rates are of."""
+    return p8_sources(spark, d).select("source", "texts")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_scores, p3_found, p3_pairs, p5_found, p5_top, p6_ids, p6_roundtrip, p7_packing, p7_fill, p7_chars, p8_found, p8_sources, p8_texts)
+}

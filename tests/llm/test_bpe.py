@@ -61,3 +61,7 @@ def test_column(spark):
     counts = bpe.encode_column(df, "text", ["doc_id"], counts_only=True)
     assert sorted(r["n_tokens"] for r in counts.collect()) == [0, 0, 1, 2, 2]
     assert bpe.encode_column(df.limit(0), "text", ["doc_id"]).count() == 0
+    texts = spark.createDataFrame([(1, "a b\u00e9\n"), (2, None), (3, "")], "doc_id long, text string")
+    back = bpe.decode_column(bpe.encode_column(texts, "text", ["doc_id"]), "ids", ["doc_id"])
+    assert sorted(map(tuple, back.collect())) == [(1, "a b\u00e9\n"), (2, ""), (3, "")]
+    assert bpe.decode_column(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), "ids", ["doc_id"]).first()["text"] == ""
