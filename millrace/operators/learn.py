@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from millrace.functions.logmath import signless_zero
-from millrace.session import ship, written
+from millrace.operators.skew import join_hot
+from millrace.session import ship, use_checkpoints, written
 
 DELTA = 0.002
 
@@ -33,13 +34,20 @@ def _sigmoid(x: float) -> float:
 def sgd_train(instances: DataFrame, order: list[str], model: str | None = None, delta: float = DELTA) -> DataFrame:
     """(model_id, feature, weight): one pass in the given order, a model for each value of the column `model`.
 
-    The algorithm is a chain of updates, so one model is one task by definition. The task streams over sorted batches
-    and keeps only the weights; give `model` (shards of the data) to train many models side by side for an ensemble.
-    Rows of a null `model` train the model of id null. An empty table gives no rows.
+    The algorithm is a chain of updates, so one model is one task by definition. Reading, features and sorting are done
+    by all tasks: rows are range-partitioned and sorted by the order columns and stored so; the one task then streams
+    the sorted partitions in their order and keeps only the weights. With `model` (shards of the data, to train many
+    models side by side for an ensemble) each shard is brought together and sorted by the task that trains on it. Rows
+    of a null `model` train the model of id null. An empty table gives no rows.
     """
+    spark = instances.sparkSession
     rows = instances.select((F.col(model) if model else F.lit(0)).cast("long").alias("model_id"), F.col("y").cast("double").alias("y"), "features", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
     keys = [f"_o{i}" for i in range(len(order))]
-    spread = rows.repartition("model_id") if model else rows.coalesce(1)
+    if model:
+        ordered = rows.repartition("model_id").sortWithinPartitions("model_id", *keys)
+    else:
+        use_checkpoints(spark)
+        ordered = rows.orderBy(*keys).select("model_id", "y", "features").checkpoint().coalesce(1)
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, weights, any_row = None, defaultdict(float), False
@@ -63,8 +71,8 @@ def sgd_train(instances: DataFrame, order: list[str], model: str | None = None,
         if any_row and weights:
             yield out()
 
-    ship(instances.sparkSession)
-    return spread.sortWithinPartitions("model_id", *keys).select("model_id", "y", "features").mapInPandas(train, "model_id long, feature int, weight double")
+    ship(spark)
+    return ordered.select("model_id", "y", "features").mapInPandas(train, "model_id long, feature int, weight double")
 
 
 def score(instances: DataFrame, model: DataFrame) -> DataFrame:
@@ -72,11 +80,14 @@ def score(instances: DataFrame, model: DataFrame) -> DataFrame:
 
     Unknown features weigh 0; documents without features score 0. `model` is (model_id, feature, weight); every
     document gets a row for each model. Features are counted per document before the join, and documents of one id
-    count together.
+    count together. A feature of very many documents is no task's key: the models' weights come to it by broadcast.
     """
     ids = model.select("model_id").distinct()
-    n = instances.select("doc_id", F.explode(F.coalesce("features", F.array().cast("array<int>"))).alias("feature")).where("feature is not null").groupBy("doc_id", "feature").agg(F.count("*").alias("n"))
-    found = n.join(model, "feature").groupBy("doc_id", "model_id").agg(F.sum(F.col("n") * F.col("weight")).alias("s"))
+    n = written(instances.select("doc_id", F.explode(F.coalesce("features", F.array().cast("array<int>"))).alias("feature")).where("feature is not null").groupBy("doc_id", "feature").agg(F.count("*").alias("n")))
+    docs = n.groupBy("feature").agg(F.count("*").alias("docs"))
+    weights = model.groupBy("feature").agg(F.collect_list(F.struct("model_id", "weight")).alias("weights")).join(docs, "feature")
+    each = join_hot(n, weights, "feature", "docs", n.count(), F.col("doc_id")).where("weights is not null").select("doc_id", "n", F.inline("weights"))
+    found = each.groupBy("doc_id", "model_id").agg(F.sum(F.col("n") * F.col("weight")).alias("s"))
     every = instances.select("doc_id").distinct().withColumn("model_id", F.explode(ids.agg(F.collect_list("model_id")).scalar()))
     value = signless_zero(F.coalesce("s", F.lit(0.0)))
     return every.join(found, ["doc_id", "model_id"], "left").select("doc_id", "model_id", value.alias("score"), F.when(value > 0, "spam").otherwise("ham").alias("predicted"))

@@ -46,9 +46,11 @@ def shipped_to_nations(lineitem: DataFrame, orders: DataFrame, customer: DataFra
     return _run(sql.Q4, {"day": day}, lineitem=lineitem, orders=orders, customer=customer, nation=nation)
 
 
-def monthly_by_nation(lineitem: DataFrame, orders: DataFrame, customer: DataFrame, nation: DataFrame, nations: list[str]) -> DataFrame:
-    """(n_nationkey, n_name, month, n): line items shipped per month to the named nations."""
-    return _run(sql.Q5, {"nations": F.lit(nations)}, lineitem=lineitem, orders=orders, customer=customer, nation=nation)
+def monthly_by_nation(lineitem: DataFrame, orders: DataFrame, customer: DataFrame, nation: DataFrame, nations: list[str], any_case: bool = False) -> DataFrame:
+    """(n_nationkey, n_name, month, n): line items shipped per month to the named nations, with `any_case` however the
+    table writes them."""
+    text, names = (sql.Q5_ANY_CASE, [n.upper() for n in nations]) if any_case else (sql.Q5, nations)
+    return _run(text, {"nations": F.lit(names)}, lineitem=lineitem, orders=orders, customer=customer, nation=nation)
 
 
 def pricing_summary(lineitem: DataFrame, day: str) -> DataFrame:
@@ -56,6 +58,7 @@ def pricing_summary(lineitem: DataFrame, day: str) -> DataFrame:
     return _run(sql.Q6, {"day": day}, lineitem=lineitem)
 
 
-def shipping_priority(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, day: str, priority: str = "o_orderpriority") -> DataFrame:
-    """The ten orders of highest revenue placed before and shipped after the day (both strict)."""
-    return _run(sql.Q7, {"day": day, "priority": priority}, customer=customer, orders=orders, lineitem=lineitem)
+def shipping_priority(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, day: str, priority: str = "o_orderpriority", unknown: bool = False) -> DataFrame:
+    """The ten orders of highest revenue placed before and shipped after the day (both strict). With `unknown`, orders
+    whose customer has no record count too, under an empty name."""
+    return _run(sql.Q7_LEFT if unknown else sql.Q7, {"day": day, "priority": priority}, customer=customer, orders=orders, lineitem=lineitem)

@@ -113,16 +113,19 @@ def percentiles(weighted: DataFrame, keys: list[str], value: str, percents: list
     return each.groupBy(*keys).agg(*[F.max(F.when(F.col("w.percent") == p, F.col("_v"))).alias(f"p_{p}") for p in percents])
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, spread: Column, parts: int = HOT) -> DataFrame:
+def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, spread: Column, parts: int = HOT, size: int | None = None) -> DataFrame:
     """The rows with the columns of `table` for their key (null where it has none), no key being one task's work.
 
     `table` has a row per key; its column `weight` (left out of the result) is how many rows have the key, `total` how
     many rows there are. Keys of at least one in `parts` rows, of which there can be `parts` at most, come by
     broadcast; for the others, the rows are joined by key, while rows already served are spread by the hash of
     `spread`, a column that tells them apart. Where the rest of the table is small, the optimizer broadcasts it too,
-    and nothing is shuffled. Null keys find nothing.
+    and nothing is shuffled; a table known to have no more than `parts` rows (`size`) is broadcast as a whole. Null keys
+    find nothing.
     """
     columns = [c for c in table.columns if c not in (key, weight)]
+    if size is not None and size <= parts:
+        return rows.join(F.broadcast(table.drop(weight)), key, "left").select(*rows.columns, *columns)
     is_hot = F.col(weight) * parts >= total
     hot = table.where(is_hot).select(key, F.struct(*columns).alias("_hot"))
     rest = table.where(~is_hot).select(key, F.struct(*columns).alias("_rest"), F.lit(0).alias("_salt"))

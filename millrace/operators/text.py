@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from millrace.functions.text import adjacent_pairs, head_terms, tokens
+from millrace.session import written
 
 
 def token_counts(lines: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -52,13 +53,13 @@ def pmi_pairs(lines: DataFrame, text: str, cap: int | None = 40, threshold: int
     """(left, right, pmi, n) for every ordered pair of different words that share at least `threshold` lines.
 
     pmi = log10(n * N / (c(left) * c(right))), counts over distinct words among the first `cap` tokens. Pairs are
-    counted once as left < right and mirrored after the threshold, which halves what is shuffled; N is a scalar
-    subquery. `cap` bounds the pairs of one line; None lifts the bound (use only where lines are short).
+    counted once as left < right and mirrored after the threshold, which halves what is shuffled. The words of the lines
+    are written once, for the single counts, the pairs and N. `cap` bounds the pairs of one line; None lifts the bound (use only where lines are short).
     """
-    heads = lines.select(head_terms(tokens(text), cap).alias("t"))
+    heads = written(lines.select(F.array_sort(head_terms(tokens(text), cap)).alias("t")))
     word = heads.select(F.explode("t").alias("word")).groupBy("word").agg(F.count("*").alias("c"))
-    total = lines.agg(F.count("*").alias("N")).scalar()
-    first = heads.select(F.array_sort("t").alias("t")).select("t", F.posexplode("t").alias("i", "left"))
+    total = F.lit(heads.count())
+    first = heads.select("t", F.posexplode("t").alias("i", "left"))
     pairs = first.select("left", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("right")).groupBy("left", "right").agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
     scored = (
         pairs.join(word.select(F.col("word").alias("left"), F.col("c").alias("cl")), "left")

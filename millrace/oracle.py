@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from millrace.queries import CUT, DAY, NATIONS, PMI_THRESHOLD, PPR_STEPS
+from millrace.operators.index import BLOCK
+from millrace.queries import CUT, DAY, NATIONS, PMI_THRESHOLD, PPR_STEPS, SMALL_BLOCK
 
 TOKENS = r"regexp_extract_all(lower({}), '[a-z](?:[^ \t\n\r\f]*[a-z])?')"
 
@@ -20,7 +21,14 @@ PMI = f"""WITH {HEADS}, both_ AS (SELECT a.word AS "left", b.word AS "right", co
 pmi AS (SELECT "left", "right", log10(n * total / (x.c::DOUBLE * y.c)) AS pmi, n FROM both_ JOIN df x ON x.word = "left" JOIN df y ON y.word = "right", total)"""
 POSTINGS = f"posts AS (SELECT term, doc_id, count(*)::INTEGER AS tf FROM (SELECT doc_id, unnest({_tok('text')}) AS term FROM documents) GROUP BY 1, 2)"
 HITS = f"WITH {POSTINGS}, hits AS (SELECT doc_id FROM posts GROUP BY doc_id HAVING (bool_or(term = 'the') OR bool_or(term = 'that')) AND bool_or(term = 'of'))"
-GAPS = "gaps AS (SELECT term, doc_id // 65536 AS block, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term, doc_id // 65536 ORDER BY doc_id) AS gap, tf FROM posts)"
+
+
+def _blocks(size: int) -> str:
+    return f"placed AS (SELECT term, doc_id, tf, count(*) OVER (PARTITION BY term) AS df, (row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) // {size} AS block FROM posts)"
+
+
+GAPS = f"{_blocks(BLOCK)}, gaps AS (SELECT term, block, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term, block ORDER BY doc_id) AS gap, tf FROM placed)"
+RARE_HITS = f"WITH {POSTINGS}, hits AS (SELECT doc_id FROM posts GROUP BY doc_id HAVING (bool_or(term = 'ledger') AND bool_or(term = 'harbour')) OR bool_or(term = 'orchard'))"
 NODES = "nodes AS (SELECT nodeid AS id, list_filter(coalesce(adjacency, []), lambda x: x IS NOT NULL) AS adjacency FROM graph_nodes WHERE nodeid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY nodeid ORDER BY loaded_at DESC NULLS LAST, len(coalesce(adjacency, [])) DESC) = 1)"
 
 
@@ -46,6 +54,18 @@ part AS (SELECT doc_id, model_id, sum(CASE WHEN feature % 3 <> 0 THEN feature *
 scores AS (SELECT i.doc_id, m.model_id, coalesce(s, 0.0)::DOUBLE AS score FROM (SELECT DISTINCT doc_id FROM inst) i CROSS JOIN models m LEFT JOIN part USING (doc_id, model_id))"""
 AVERAGE = f"{SCORES}, average AS (SELECT doc_id, round(CASE WHEN avg(score) = 0 THEN 0.0 ELSE avg(score) END, 6) AS score, CASE WHEN avg(score) > 0 THEN 'spam' ELSE 'ham' END AS predicted FROM scores GROUP BY doc_id)"
 MESSAGES = "msgs AS (SELECT min(iteration) AS iteration, min(neighbor) AS neighbor, min(mass) AS mass FROM mass_messages GROUP BY msg_id HAVING min(neighbor) IS NOT NULL)"
+
+
+def _sgd(model: str = "0") -> str:
+    """Training as a recursion over the instances of each model, which updates only the weights of their features."""
+    return f"""WITH RECURSIVE {INSTANCES}, ordered AS (SELECT {model} AS model, row_number() OVER (PARTITION BY {model} ORDER BY doc_id) AS rn, y, features FROM inst),
+feats AS MATERIALIZED (SELECT model, rn, y, f, count(*) AS k FROM (SELECT model, rn, y, unnest(features) AS f FROM ordered) GROUP BY ALL UNION ALL SELECT model, rn, y, -1, 0 FROM ordered),
+trained(model, f, w, rn) USING KEY (model, f) AS (SELECT DISTINCT model, -1, 0.0::DOUBLE, 0::BIGINT FROM ordered
+UNION ALL SELECT model, f, w0 + k * step, rn FROM (SELECT i.model, i.f, i.k, i.rn, coalesce(r.w, 0) AS w0, (i.y - 1 / (1 + exp(-sum(i.k * coalesce(r.w, 0)) OVER (PARTITION BY i.model)))) * 0.002 AS step
+FROM (SELECT model, max(rn) AS last FROM trained GROUP BY model) c JOIN feats i ON i.model = c.model AND i.rn = c.last + 1 LEFT JOIN recurring.trained r ON r.model = i.model AND r.f = i.f))
+SELECT model::BIGINT AS model_id, f::INTEGER AS feature, round(w, 9) + 0 AS weight FROM trained WHERE f >= 0"""
+
+
 NATION_LIST = ", ".join(f"'{n}'" for n in NATIONS)
 JOIN4 = "lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey"
 
@@ -61,6 +81,16 @@ FROM lineitem WHERE l_shipdate = TIMESTAMP '{DAY}' GROUP BY 1, 2""",
     "q7_shipping_priority": f"""SELECT c_name, l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, o_orderdate, o_orderpriority AS o_shippriority
 FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate < TIMESTAMP '{CUT}' AND l_shipdate > TIMESTAMP '{CUT}'
 GROUP BY c_name, l_orderkey, o_orderdate, o_orderpriority ORDER BY revenue DESC, l_orderkey, c_name LIMIT 10""",
+    "q5_any_case": f"SELECT n_nationkey, n_name, strftime(l_shipdate, '%Y-%m') AS month, count(*) AS n FROM {JOIN4} WHERE upper(n_name) IN ({NATION_LIST}) GROUP BY 1, 2, 3",
+    "q7_left": f"""SELECT coalesce(c_name, '') AS c_name, l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, o_orderdate, o_orderpriority AS o_shippriority
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderdate < TIMESTAMP '{CUT}' AND l_shipdate > TIMESTAMP '{CUT}'
+GROUP BY 1, l_orderkey, o_orderdate, o_orderpriority ORDER BY revenue DESC, l_orderkey, c_name LIMIT 10""",
+    "source_tbl": f"""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 6) AS sum_qty, round(sum(l_extendedprice), 6) AS sum_base_price, round(sum(l_extendedprice * (1 - l_discount)), 6) AS sum_disc_price,
+round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 6) AS sum_charge, round(avg(l_quantity), 6) AS avg_qty, round(avg(l_extendedprice), 6) AS avg_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
+FROM lineitem WHERE l_shipdate = TIMESTAMP '{DAY}' GROUP BY 1, 2""",
+    "source_adjacency": f"WITH {NODES} SELECT id, array_to_string(adjacency, ' ') AS adjacency FROM nodes",
+    "source_instances": f"WITH {INSTANCES} SELECT doc_id::VARCHAR AS doc_id, y::DOUBLE AS y, len(features)::BIGINT AS n, md5(array_to_string(features, ' ')) AS digest FROM inst WHERE doc_id IS NOT NULL",
+    "source_model": "SELECT f::INTEGER AS feature, (f * 7 % 201 - 100)::DOUBLE AS weight FROM range(65536) r(f) WHERE f % 3 <> 0",
     "tok_count": f"WITH {TOKS} SELECT doc_id, line_no::INTEGER AS line_no, len(t)::BIGINT AS n_tokens FROM toks",
     "word_count": f"{WORDS} SELECT word, n FROM counted",
     "top_words": f"{WORDS} SELECT word, n FROM counted ORDER BY n DESC, word LIMIT 20",
@@ -73,7 +103,15 @@ GROUP BY c_name, l_orderkey, o_orderdate, o_orderpriority ORDER BY revenue DESC,
     "pmi_stripes": f"{PMI} SELECT \"left\", string_agg(\"right\" || '=' || floor(pmi * 1e6 + 0.5)::BIGINT || '/' || n, ',' ORDER BY \"right\") AS stripe FROM pmi GROUP BY 1",
     "pmi_topk": f"{PMI}, ranked AS (SELECT \"left\", \"right\", round(pmi, 6) AS pmi, n, row_number() OVER (PARTITION BY \"left\" ORDER BY round(pmi, 9) DESC, \"right\")::INTEGER AS rank FROM pmi) SELECT * FROM ranked WHERE rank <= 3",
     "index_vocabulary": f"WITH {POSTINGS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM posts GROUP BY term",
-    "index_build": f"WITH {POSTINGS} SELECT term, doc_id // 65536 AS block, count(*) AS df, string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id) AS postings FROM posts GROUP BY 1, 2",
+    "index_build": f"WITH {POSTINGS}, {_blocks(BLOCK)} SELECT term, block, df, string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id) AS postings FROM placed GROUP BY 1, 2, 3",
+    "index_blocks": f"WITH {POSTINGS}, {_blocks(SMALL_BLOCK)} SELECT term, block, df, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM placed GROUP BY 1, 2, 3",
+    "index_bytes": f"WITH {POSTINGS} SELECT term, doc_id, tf FROM posts",
+    "index_size": f"""WITH {POSTINGS}, {GAPS}, bytes AS (SELECT greatest(1, ceil(ln(gap + 1) / ln(128)))::BIGINT + greatest(1, ceil(ln(tf + 1) / ln(128)))::BIGINT AS b FROM gaps)
+SELECT (SELECT count(DISTINCT term) FROM posts) AS terms, count(*) AS postings, sum(b)::BIGINT AS bytes FROM bytes""",
+    "index_stored_lookup": f"WITH {POSTINGS} SELECT doc_id, tf FROM posts WHERE term = 'ledger'",
+    "bool_stored": f"{HITS} SELECT doc_id FROM hits",
+    "search_stored": f"{HITS} SELECT doc_id, to_json({{'docid': doc_id, 'text': text}})::VARCHAR AS hit FROM documents WHERE doc_id IN (SELECT doc_id FROM hits)",
+    "fetch_stored": f"{RARE_HITS} SELECT doc_id, CASE WHEN length(text) > 80 THEN substring(text, 1, 80) || '...' ELSE text END AS text FROM documents WHERE doc_id IN (SELECT doc_id FROM hits)",
     "index_gaps": f"WITH {POSTINGS}, {GAPS} SELECT term, block, gap, tf FROM gaps",
     "index_roundtrip": f"WITH {POSTINGS} SELECT term, doc_id, tf FROM posts",
     "term_lookup": f"WITH {POSTINGS} SELECT doc_id, tf FROM posts WHERE term = 'ledger'",
@@ -84,9 +122,16 @@ GROUP BY c_name, l_orderkey, o_orderdate, o_orderpriority ORDER BY revenue DESC,
     "search_json": f"{HITS} SELECT doc_id, to_json({{'docid': doc_id, 'text': text}})::VARCHAR AS hit FROM documents WHERE doc_id IN (SELECT doc_id FROM hits)",
     "graph_stats": f"WITH {NODES} SELECT count(*) AS num_nodes, coalesce(sum(len(adjacency)), 0)::BIGINT AS num_edges, count(*) FILTER (len(adjacency) > 0) AS num_active FROM nodes",
     "graph_edges": f"WITH {NODES} SELECT id AS src, unnest(adjacency) AS dst FROM nodes",
+    "graph_partition_hash": f"WITH {NODES} SELECT id, (id % 10)::INTEGER AS part FROM nodes",
+    "graph_counters": f"""WITH {NODES}, e AS (SELECT unnest(adjacency) AS dst FROM nodes) SELECT 'null_id' AS name, count(*) FILTER (nodeid IS NULL) AS n FROM graph_nodes
+UNION ALL SELECT 'repeated_record', count(nodeid) - count(DISTINCT nodeid) FROM graph_nodes UNION ALL SELECT 'dangling', count(*) FILTER (len(adjacency) = 0) FROM nodes
+UNION ALL SELECT 'missing_receiver', count(*) FROM e WHERE dst NOT IN (SELECT id FROM nodes)""",
+    "log_added": "SELECT DISTINCT mass::DOUBLE AS mass, round(ln(exp(mass::DOUBLE) + exp(-1.5)), 9) AS added FROM mass_messages WHERE mass IS NOT NULL AND NOT isnan(mass)",
     "graph_partition": f"WITH {NODES} SELECT id, (floor(id / (SELECT count(*) FROM nodes) * 10) % 10)::INTEGER AS part FROM nodes",
     "ppr": _ppr("SELECT source, id, p FROM ppr"),
     "ppr_topk": _ppr(", ranked AS (SELECT source, id, p, row_number() OVER (PARTITION BY source ORDER BY p DESC, id)::INTEGER AS rank FROM ppr) SELECT * FROM ranked WHERE rank <= 10"),
+    "sgd_train": _sgd(),
+    "sgd_train_ensemble": _sgd("doc_id % 3"),
     "spam_score": f"{SCORES} SELECT doc_id, model_id, score, CASE WHEN score > 0 THEN 'spam' ELSE 'ham' END AS predicted FROM scores",
     "spam_ensemble_avg": f"{AVERAGE} SELECT * FROM average",
     "spam_ensemble_vote": f"{SCORES}, v AS (SELECT doc_id, sum(CASE WHEN score > 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS score FROM scores GROUP BY 1) SELECT doc_id, score, CASE WHEN score > 0 THEN 'spam' ELSE 'ham' END AS predicted FROM v",

@@ -31,6 +31,8 @@ JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey
 WHERE array_contains(:nations, n.n_name)
 GROUP BY n.n_nationkey, n.n_name, month ORDER BY n.n_nationkey, n.n_name, month"""
 
+Q5_ANY_CASE = Q5.replace("n.n_name)\nGROUP", "upper(n.n_name))\nGROUP")
+
 Q6 = """
 SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_base_price,
   sum(l_extendedprice * (1 - l_discount)) AS sum_disc_price,
@@ -45,3 +47,10 @@ FROM {customer} c JOIN {orders} o ON c.c_custkey = o.o_custkey JOIN {lineitem} l
 WHERE o.o_orderdate < CAST(:day AS TIMESTAMP_NTZ) AND l.l_shipdate > CAST(:day AS TIMESTAMP_NTZ)
 GROUP BY c.c_name, l.l_orderkey, o.o_orderdate, o_shippriority
 ORDER BY revenue DESC, l.l_orderkey, c.c_name LIMIT 10"""
+
+Q7_LEFT = """
+SELECT coalesce(c.c_name, '') AS c_name, l.l_orderkey, sum(l.l_extendedprice * (1 - l.l_discount)) AS revenue, o.o_orderdate, IDENTIFIER(:priority) AS o_shippriority
+FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey LEFT JOIN {customer} c ON c.c_custkey = o.o_custkey
+WHERE o.o_orderdate < CAST(:day AS TIMESTAMP_NTZ) AND l.l_shipdate > CAST(:day AS TIMESTAMP_NTZ)
+GROUP BY coalesce(c.c_name, ''), l.l_orderkey, o.o_orderdate, o_shippriority
+ORDER BY revenue DESC, l.l_orderkey, c_name LIMIT 10"""

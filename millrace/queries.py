@@ -7,17 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.logmath import log_add
 from millrace.functions.text import tokens
 from millrace.operators import graph, index, learn, relational, skew
 from millrace.operators import text as words
-from millrace.session import spread
+from millrace import sources
+from millrace.session import scratch, spread, written
 from millrace.sources import document_lines, load
 
 DAY, CUT = "1996-11-01", "1998-01-01"
 NATIONS = ["NATION_3", "NATION_24"]
 QUERY = "the that OR of AND"
+RARE_QUERY = "ledger harbour AND orchard OR"
 PMI_THRESHOLD = 10
 PPR_STEPS = 3
+#: Postings in a block of the index of which the blocks are shown.
+SMALL_BLOCK = 128
 
 
 def _tables(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
@@ -57,6 +62,44 @@ def q7(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(relational.shipping_priority(*_tables(spark, d, "customer", "orders", "lineitem"), CUT), 4, "revenue")
 
 
+def q5_any_case(spark: SparkSession, d: str) -> DataFrame:
+    return relational.monthly_by_nation(*_tables(spark, d, "lineitem", "orders", "customer", "nation"), ["nation_3", "Nation_24"], any_case=True)
+
+
+def q7_left(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(relational.shipping_priority(*_tables(spark, d, "customer", "orders", "lineitem"), CUT, unknown=True), 4, "revenue")
+
+
+def source_tbl(spark: SparkSession, d: str) -> DataFrame:
+    """The pricing summary over line items read from a pipe-delimited file, which is written first."""
+    path, names = f"{scratch(spark)}/lineitem.tbl", [f.split()[0] for f in sources.TBL_SCHEMAS["lineitem"].split(",")]
+    items = load(spark, d, "lineitem").withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
+    sources.write_text(items.select(*[F.col(n) if n in items.columns else F.lit(None).cast("string").alias(n) for n in names]), path, "|")
+    df = relational.pricing_summary(sources.read_tbl(spark, path, "lineitem"), DAY)
+    return _rounded(df, 6, *[c for c in df.columns if c.startswith(("sum_", "avg_"))])
+
+
+def source_adjacency(spark: SparkSession, d: str) -> DataFrame:
+    """The graph's nodes read from lines of adjacency, which are written first."""
+    path = f"{scratch(spark)}/graph.txt"
+    _nodes(spark, d).select(F.concat_ws(" ", F.col("id").cast("string"), F.transform("adjacency", lambda x: x.cast("string")))).write.text(path)
+    return sources.read_adjacency(spark, path).select("id", F.concat_ws(" ", F.transform("adjacency", lambda x: x.cast("string"))).alias("adjacency"))
+
+
+def source_instances(spark: SparkSession, d: str) -> DataFrame:
+    """The labelled instances read from lines, which are written first."""
+    path, label = f"{scratch(spark)}/instances.txt", F.when(F.col("y") > 0, "spam").otherwise("ham")
+    _instances(spark, d).select(F.concat_ws(" ", F.col("doc_id").cast("string"), label, F.transform("features", lambda x: x.cast("string")))).write.text(path)
+    return sources.read_instances(spark, path).select("doc_id", "y", F.size("features").cast("bigint").alias("n"), F.md5(F.concat_ws(" ", F.transform("features", lambda x: x.cast("string"))).cast("binary")).alias("digest"))
+
+
+def source_model(spark: SparkSession, d: str) -> DataFrame:
+    """A model read from lines, which are written first."""
+    path = f"{scratch(spark)}/model"
+    sources.write_model(_fixed_model(spark).where("model_id = 0"), path)
+    return sources.read_model(spark, path)
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     return spread(load(spark, d, "documents").select("doc_id", "text"))
 
@@ -144,6 +187,56 @@ def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return index.decode_gaps(index.encode_gaps(index.build_index(_postings(spark, d))))
 
 
+def index_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of an index of small ones, by their first and last document."""
+    built = index.build_index(_postings(spark, d), SMALL_BLOCK)
+    return built.select("term", "block", "df", F.size("postings").cast("bigint").alias("n"), F.array_min("postings.doc_id").alias("first"), F.array_max("postings.doc_id").alias("last"))
+
+
+def index_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """The postings back from their bytes."""
+    gaps = index.encode_gaps(index.build_index(_postings(spark, d), SMALL_BLOCK))
+    return index.decode_gaps(index.decode_bytes(index.encode_bytes(gaps)))
+
+
+def index_size(spark: SparkSession, d: str) -> DataFrame:
+    """Terms, postings, and bytes of the lists of the whole index."""
+    stored = index.encode_bytes(index.encode_gaps(index.build_index(_postings(spark, d))))
+    first = F.col("block") == 0
+    return stored.agg(F.count(F.when(first, 1)).alias("terms"), F.sum(F.when(first, F.col("df"))).alias("postings"), F.sum(F.octet_length("bytes").cast("bigint")).alias("bytes"))
+
+
+#: Where the index and the collection of a folder were stored, by application and folder.
+_stored: dict[tuple[str, str], str] = {}
+
+
+def _store(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The stored index and collection of the documents, built by the first query that needs them."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _stored:
+        path = scratch(spark)
+        index.write_index(index.build_index(_postings(spark, d)), f"{path}/index")
+        index.write_collection(load(spark, d, "documents").where("doc_id is not null"), f"{path}/collection", "doc_id", "text")
+        _stored[key] = path
+    return spark.read.parquet(f"{_stored[key]}/index"), spark.read.parquet(f"{_stored[key]}/collection")
+
+
+def index_stored_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return index.lookup_term(_store(spark, d)[0], "ledger")
+
+
+def bool_stored(spark: SparkSession, d: str) -> DataFrame:
+    return index.boolean_search(index.postings_of(_store(spark, d)[0], QUERY), QUERY)
+
+
+def search_stored(spark: SparkSession, d: str) -> DataFrame:
+    return index.as_json(index.search_stored(*_store(spark, d), QUERY, None))
+
+
+def fetch_stored(spark: SparkSession, d: str) -> DataFrame:
+    return index.search_stored(*_store(spark, d), RARE_QUERY)
+
+
 def bool_and(spark: SparkSession, d: str) -> DataFrame:
     p = _postings(spark, d)
     return index.intersect(p.where("term = 'the'"), p.where("term = 'of'"))
@@ -187,6 +280,20 @@ def graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.edges(_nodes(spark, d))
 
 
+def graph_partition_hash(spark: SparkSession, d: str) -> DataFrame:
+    return graph.hash_partition(_nodes(spark, d), 10)
+
+
+def graph_counters(spark: SparkSession, d: str) -> DataFrame:
+    return graph.graph_counters(load(spark, d, "graph_nodes"), _nodes(spark, d))
+
+
+def log_added(spark: SparkSession, d: str) -> DataFrame:
+    """Each different mass added to a fixed one, both as logarithms."""
+    mass = load(spark, d, "mass_messages").select(F.col("mass").cast("double").alias("mass")).where("mass is not null and not isnan(mass)").distinct()
+    return mass.select("mass", F.round(log_add(F.col("mass"), F.lit(-1.5)), 9).alias("added"))
+
+
 def graph_partition(spark: SparkSession, d: str) -> DataFrame:
     nodes = _nodes(spark, d)
     return graph.range_partition(nodes, nodes.count(), 10)
@@ -219,17 +326,27 @@ def _fixed_model(spark: SparkSession) -> DataFrame:
 
 
 def sgd_train(spark: SparkSession, d: str) -> DataFrame:
-    return learn.sgd_train(_instances(spark, d), ["doc_id"])
+    return _rounded(learn.sgd_train(_instances(spark, d), ["doc_id"]), 9, "weight")
 
 
 def sgd_train_shuffled(spark: SparkSession, d: str) -> DataFrame:
-    return learn.sgd_train(learn.shuffled(_instances(spark, d), 17), ["ord", "doc_id"])
+    return _rounded(learn.sgd_train(learn.shuffled(_instances(spark, d), 17), ["ord", "doc_id"]), 9, "weight")
 
 
 def sgd_train_ensemble(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_ensemble(spark, d), 9, "weight")
+
+
+def _ensemble(spark: SparkSession, d: str) -> DataFrame:
     return learn.sgd_train(_instances(spark, d).withColumn("shard", F.pmod("doc_id", F.lit(3))), ["doc_id"], "shard")
 
 
+def spam_trained(spark: SparkSession, d: str) -> DataFrame:
+    """The whole way: an ensemble trained on three shards, its average over all documents, and its area under the curve."""
+    scored = learn.ensemble_average(learn.score(_instances(spark, d), written(_ensemble(spark, d))))
+    return _rounded(learn.one_minus_roca(scored.withColumn("score", F.round("score", 6)).join(_instances(spark, d).select("doc_id", "y"), "doc_id")), 4, "one_minus_roca")
+
+
 def spam_score(spark: SparkSession, d: str) -> DataFrame:
     return learn.score(_instances(spark, d), _fixed_model(spark))
 
@@ -281,10 +398,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 } | {
     f.__name__: f
     for f in (
+        q5_any_case, q7_left, source_tbl, source_adjacency, source_instances, source_model,
         tok_count, word_count, top_words, word_lookup, follower_count, line_df, bigram_pairs, bigram_stripes, pmi_pairs, pmi_stripes, pmi_topk,
         index_vocabulary, index_build, index_gaps, index_roundtrip, term_lookup, bool_and, bool_or, bool_postfix, fetch_line, search_json,
-        graph_stats, graph_edges, graph_partition, ppr, ppr_topk,
-        sgd_train, sgd_train_shuffled, sgd_train_ensemble, spam_score, spam_ensemble_avg, spam_ensemble_vote, spam_roca,
+        index_blocks, index_bytes, index_size, index_stored_lookup, bool_stored, search_stored, fetch_stored,
+        graph_stats, graph_edges, graph_partition, graph_partition_hash, graph_counters, log_added, ppr, ppr_topk,
+        sgd_train, sgd_train_shuffled, sgd_train_ensemble, spam_score, spam_ensemble_avg, spam_ensemble_vote, spam_roca, spam_trained,
         p4_found, p4_receivers, p4_percentiles,
     )
 }

@@ -59,6 +59,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
+def use_checkpoints(spark: SparkSession) -> None:
+    """Have DataFrame.checkpoint write into the shared folder."""
+    folder = shared_folder(spark)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A path in the shared folder for files of a query, deleted when the application's JVM ends."""
+    path = f"{shared_folder(spark)}/millrace-{uuid.uuid4().hex}"
+    target, files = _path(spark, path)
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    return path
+
+
 def is_local(master: str) -> bool:
     """Whether a master URL stands for threads of one process."""
     return master == "local" or master.startswith("local[")

@@ -96,10 +96,10 @@ def write_model(model: DataFrame, path: str) -> None:
     model.select(F.concat(F.lit("("), F.col("feature").cast("string"), F.lit(","), F.col("weight").cast("string"), F.lit(")"))).write.mode("overwrite").text(path)
 
 
-def write_keyed(df: DataFrame, path: str, key: str | Column) -> None:
-    """Write a table for keyed lookup: range-partitioned and sorted by `key`, so that file and row-group statistics
+def write_keyed(df: DataFrame, path: str, *key: str | Column) -> None:
+    """Write a table for keyed lookup: range-partitioned and sorted by `key` (further ones spread a hot first), so that file and row-group statistics
     let a filter on the key read few row groups. Replaces `path`. A hot key may span several files."""
-    df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").option("parquet.block.size", str(16 << 20)).parquet(path)
+    df.repartitionByRange(*key).sortWithinPartitions(*key).write.mode("overwrite").option("parquet.block.size", str(16 << 20)).parquet(path)
 
 
 def write_text(df: DataFrame, path: str, sep: str = "\t") -> None:

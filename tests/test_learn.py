@@ -55,3 +55,37 @@ def test_roca(spark):
     df = spark.createDataFrame([(0.9, 1), (0.8, 0), (0.8, 1), (0.1, 0), (None, 1)], "score double, y int")
     assert L.one_minus_roca(df).first()[0] == pytest.approx(100 * (1 - 3.5 / 4))
     assert L.one_minus_roca(df.where("y = 1")).first()[0] is None
+
+
+def test_reading_and_sorting_are_not_left_to_the_one_task(spark):
+    df = inst(spark, [(i, float(i % 2), [i % 5], "x") for i in range(400)]).repartition(7)
+    plan = L.sgd_train(df, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce 1" in plan and "Sort" not in plan and "Exchange" not in plan
+
+
+def test_a_feature_of_every_document_is_no_hot_key(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    df = inst(spark, [(i, 0.0, [1, 1, 2 + i % 50], "x") for i in range(1000)]).repartition(4)
+    model = spark.createDataFrame([(m, f, float(m + f)) for m in (0, 1) for f in range(60)], "model_id long, feature int, weight double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = {(r["doc_id"], r["model_id"]): r["score"] for r in L.score(df, model).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(i, m): 2.0 * (m + 1) + m + 2 + i % 50 for i in range(1000) for m in (0, 1)}
+
+
+def test_trained_ensemble_scores_as_folds_do(spark):
+    import random
+
+    rng = random.Random(4)
+    data = [(i, float(i % 2), [rng.randrange(10) + 10 * (i % 2) for _ in range(6)], "x") for i in range(200)]
+    df = inst(spark, data)
+    models = [fold([d for d in data if d[0] % 3 == m]) for m in range(3)]
+    scored = L.ensemble_average(L.score(df, L.sgd_train(df.selectExpr("*", "doc_id % 3 as m"), ["doc_id"], "m"))).collect()
+    want = {i: sum(sum(w.get(f, 0.0) for f in fs) for w in models) / 3 for i, _, fs, _ in data}
+    assert {r["doc_id"]: r["score"] for r in scored} == pytest.approx(want)
+    assert all((r["predicted"] == "spam") == (r["doc_id"] % 2 == 1) for r in scored)

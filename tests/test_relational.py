@@ -38,6 +38,10 @@ def test_all(spark):
     assert summary["N"]["sum_disc_price"] == 90.0 and summary[None]["count_order"] == 1
     got = R.shipping_priority(customer, orders, li, day).collect()
     assert [(r["c_name"], r["l_orderkey"], r["revenue"]) for r in got] == [("C", 1, 10.0)]
+    assert [tuple(r) for r in R.monthly_by_nation(li, orders, customer, nation, ["nation_3"], any_case=True).collect()] == [(3, "NATION_3", "1996-11", 3)]
+    known = customer.where("c_custkey = 9")
+    assert R.shipping_priority(known, orders, li, day).count() == 0
+    assert [(r["c_name"], r["l_orderkey"], r["revenue"]) for r in R.shipping_priority(known, orders, li, day, unknown=True).collect()] == [("", 1, 10.0)]
 
 
 def test_bad_date_and_pushdown(spark, tmp_path):

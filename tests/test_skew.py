@@ -99,6 +99,7 @@ def test_join_hot_equals_a_left_join(spark):
     try:
         for parts in (1, 5, 4096):
             assert sorted(map(tuple, S.join_hot(rows, table, "k", "n", 1000, F.col("id"), parts).collect())) == plain
+        assert sorted(map(tuple, S.join_hot(rows, table, "k", "n", 1000, F.col("id"), size=table.count()).collect())) == plain
         joined = S.join_hot(rows, written(table), "k", "n", 1000, F.col("id"), 5)
         spark.conf.set("spark.sql.adaptive.enabled", "false")
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
