@@ -432,11 +432,12 @@ def _rates(sums: DataFrame) -> DataFrame:
     return sums.where("code is not null").select(F.col("key").alias("grp"), F.when(F.col("d") <= 0, rate).alias("rate"), F.col("c").cast("long").alias("texts"))
 
 
-def _with_prior(texts: DataFrame, rates: DataFrame | None, total: int) -> DataFrame:
-    """The texts with `prior`, the rate of cuts among texts like them: by their length, else by their group."""
+def _with_prior(texts: DataFrame, rates: DataFrame | None, total: int, groups: int | None = None) -> DataFrame:
+    """The texts with `prior`, the rate of cuts among texts like them: by their length, else by their group (of which
+    there are `groups`, if that is known)."""
     if rates is None:
         return texts.withColumn("prior", F.coalesce("given", F.lit(DOUBT)))
-    return join_hot(texts, rates, "grp", "texts", total, F.col("row")).withColumn("prior", F.coalesce("rate", "given", F.lit(RATE)))
+    return join_hot(texts, rates, "grp", "texts", total, F.col("row"), size=groups).withColumn("prior", F.coalesce("rate", "given", F.lit(RATE)))
 
 
 def _looked_up(texts: DataFrame, table: DataFrame, hot: int) -> DataFrame:
@@ -524,10 +525,10 @@ def _placed(raw: DataFrame, n: int) -> DataFrame:
     behind the cut, so what is before it counts. Both are estimated from all texts.
     """
     known = written(limits(raw))
-    placed = raw
+    size_of, placed = known.count(), raw
     for unit, size in ((0, "n"), (1, "nb")):
         table = known.where(F.col("unit") == unit).select(F.xxhash64("code", "size").alias("slot"), F.struct("rate", "limit").alias(f"at_{unit}"), "texts")
-        placed = join_hot(placed.withColumn("slot", F.xxhash64("code", size)), table, "slot", "texts", n, F.col("row")).drop("slot")
+        placed = join_hot(placed.withColumn("slot", F.xxhash64("code", size)), table, "slot", "texts", n, F.col("row"), size=size_of).drop("slot")
     at = F.coalesce("at_0", "at_1")
     placed = placed.withColumns({"rate": at["rate"], "limit": at["limit"]}).drop("at_0", "at_1")
     cut, whole = F.coalesce("rate", F.lit(0.0)), 1 - F.coalesce("rate", F.lit(RATE))
@@ -537,7 +538,7 @@ def _placed(raw: DataFrame, n: int) -> DataFrame:
     odds = F.col("rate") / (1 - F.col("rate")) * F.when(F.col("loose"), p / q).otherwise((1 - p) / (1 - q))
     marks = placed.where("run is not null").groupBy("run").agg(F.sum(cut).alias("a"), F.sum(whole).alias("b"), F.count("*").alias("texts"))
     marks = written(marks.where(F.col("a") * F.lit((loose["n_whole"] or 0.0) + 1) > (F.col("b") + 1) * F.lit((loose["n_cut"] or 0.0) + 1)).select("run", F.lit(True).alias("put"), "texts"))
-    placed = join_hot(placed.withColumn("given", odds / (1 + odds)), marks, "run", "texts", n, F.col("row"))
+    placed = join_hot(placed.withColumn("given", odds / (1 + odds)), marks, "run", "texts", n, F.col("row"), size=marks.count())
     keys = F.when((F.col("given") > 0.5) & F.col("put"), F.col("bare")).otherwise(F.col("keys"))
     return placed.select("row", "id", "code", F.coalesce("limit", F.xxhash64("code", "lang")).alias("grp"), "same", "given", keys.alias("keys"))
 
@@ -586,7 +587,8 @@ def truncated_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     way = _scored_by_table if kept.count() > KEYS * CAPACITY else _scored_by_broadcast
     scored = written(way(base, train, ends, contexts, start, n))
     torn = scored.groupBy("same").agg(F.min("whole").alias("least"), F.max("whole").alias("most"), F.count("*").alias("texts")).where("least < 0.5 and most >= 0.5").select("same", F.lit(True).alias("torn"), "texts")
-    both = join_hot(scored, written(torn), "same", "texts", n, F.col("id"))
+    torn = written(torn)
+    both = join_hot(scored, torn, "same", "texts", n, F.col("id"), size=torn.count())
     return both.select("id", "whole", ((F.col("whole") < 0.5) | F.coalesce("torn", F.lit(False))).alias("truncated"))
 
 
@@ -605,14 +607,15 @@ def _scored_by_broadcast(base: DataFrame, train: DataFrame, ends: DataFrame, con
 
     content = spark.sparkContext.broadcast(model.keys)
     inner = base.select("code", "text").mapInArrow(_inner_counter(content), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    model, rates, old = model._replace(inside=placed(inner.column("key"), inner.column("n"))), None, None
+    model, rates, groups, old = model._replace(inside=placed(inner.column("key"), inner.column("n"))), None, None, None
     content.unpersist()
     for step in range(ROUNDS):
         content = spark.sparkContext.broadcast(model)
-        weighed = _with_prior(train, rates, n).select("code", "grp", "given", "prior", "keys", "copies", (start if step == 0 else F.lit(1.0)).alias("weight"))
+        weighed = _with_prior(train, rates, n, groups).select("code", "grp", "given", "prior", "keys", "copies", (start if step == 0 else F.lit(1.0)).alias("weight"))
         sums = written(weighed.mapInArrow(_reestimate(content), SUMS).groupBy("key", "code").agg(*[F.sum(x).alias(x) for x in "abcd"]))
         of = sums.where("code is null").select("key", "a").toArrow()
         model = model._replace(ends=placed(of.column("key"), of.column("a")))
+        groups = groups or sums.where("code is not null").count()  # the same in all rounds
         rates = _rates(sums) if step >= DOUBTING - 1 else None
         if old is not None:
             discard(old)
@@ -620,7 +623,7 @@ def _scored_by_broadcast(base: DataFrame, train: DataFrame, ends: DataFrame, con
         content.unpersist()
 
     content = spark.sparkContext.broadcast(model)
-    texts = _with_prior(ends, rates, n).select("id", "same", "given", "prior", "keys", F.lit(1.0).alias("weight"))
+    texts = _with_prior(ends, rates, n, groups).select("id", "same", "given", "prior", "keys", F.lit(1.0).alias("weight"))
     return texts.mapInArrow(_score(content), f"id {ends.schema['id'].dataType.simpleString()}, same string, whole double")
 
 
