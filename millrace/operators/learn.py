@@ -23,8 +23,9 @@ DELTA = 0.002
 
 
 def shuffled(instances: DataFrame, seed: int) -> DataFrame:
-    """Instances with an `ord` column, a seeded hash of the id: the same order on every run and layout."""
-    return instances.withColumn("ord", F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)))
+    """Instances with an `ord` column, a seeded digest of the id: the same order on every run and layout, and in any
+    engine. Rows of a null id come first."""
+    return instances.withColumn("ord", F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))))
 
 
 def _sigmoid(x: float) -> float:

@@ -56,14 +56,16 @@ AVERAGE = f"{SCORES}, average AS (SELECT doc_id, round(CASE WHEN avg(score) = 0
 MESSAGES = "msgs AS (SELECT min(iteration) AS iteration, min(neighbor) AS neighbor, min(mass) AS mass FROM mass_messages GROUP BY msg_id HAVING min(neighbor) IS NOT NULL)"
 
 
-def _sgd(model: str = "0") -> str:
+def _trained(model: str = "0", order: str = "doc_id") -> str:
     """Training as a recursion over the instances of each model, which updates only the weights of their features."""
-    return f"""WITH RECURSIVE {INSTANCES}, ordered AS (SELECT {model} AS model, row_number() OVER (PARTITION BY {model} ORDER BY doc_id) AS rn, y, features FROM inst),
+    return f"""WITH RECURSIVE {INSTANCES}, ordered AS (SELECT {model} AS model, row_number() OVER (PARTITION BY {model} ORDER BY {order}) AS rn, y, features FROM inst),
 feats AS MATERIALIZED (SELECT model, rn, y, f, count(*) AS k FROM (SELECT model, rn, y, unnest(features) AS f FROM ordered) GROUP BY ALL UNION ALL SELECT model, rn, y, -1, 0 FROM ordered),
 trained(model, f, w, rn) USING KEY (model, f) AS (SELECT DISTINCT model, -1, 0.0::DOUBLE, 0::BIGINT FROM ordered
 UNION ALL SELECT model, f, w0 + k * step, rn FROM (SELECT i.model, i.f, i.k, i.rn, coalesce(r.w, 0) AS w0, (i.y - 1 / (1 + exp(-sum(i.k * coalesce(r.w, 0)) OVER (PARTITION BY i.model)))) * 0.002 AS step
-FROM (SELECT model, max(rn) AS last FROM trained GROUP BY model) c JOIN feats i ON i.model = c.model AND i.rn = c.last + 1 LEFT JOIN recurring.trained r ON r.model = i.model AND r.f = i.f))
-SELECT model::BIGINT AS model_id, f::INTEGER AS feature, round(w, 9) + 0 AS weight FROM trained WHERE f >= 0"""
+FROM (SELECT model, max(rn) AS last FROM trained GROUP BY model) c JOIN feats i ON i.model = c.model AND i.rn = c.last + 1 LEFT JOIN recurring.trained r ON r.model = i.model AND r.f = i.f))"""
+
+
+WEIGHTS = "SELECT model::BIGINT AS model_id, f::INTEGER AS feature, round(w, 9) + 0 AS weight FROM trained WHERE f >= 0"
 
 
 NATION_LIST = ", ".join(f"'{n}'" for n in NATIONS)
@@ -130,8 +132,13 @@ UNION ALL SELECT 'missing_receiver', count(*) FROM e WHERE dst NOT IN (SELECT id
     "graph_partition": f"WITH {NODES} SELECT id, (floor(id / (SELECT count(*) FROM nodes) * 10) % 10)::INTEGER AS part FROM nodes",
     "ppr": _ppr("SELECT source, id, p FROM ppr"),
     "ppr_topk": _ppr(", ranked AS (SELECT source, id, p, row_number() OVER (PARTITION BY source ORDER BY p DESC, id)::INTEGER AS rank FROM ppr) SELECT * FROM ranked WHERE rank <= 10"),
-    "sgd_train": _sgd(),
-    "sgd_train_ensemble": _sgd("doc_id % 3"),
+    "sgd_train": f"{_trained()} {WEIGHTS}",
+    "sgd_train_shuffled": f"{_trained(order="md5('17:' || doc_id)")} {WEIGHTS}",
+    "sgd_train_ensemble": f"{_trained('doc_id % 3')} {WEIGHTS}",
+    "spam_trained": f"""{_trained('doc_id % 3')}, f AS (SELECT doc_id, unnest(features) AS feature FROM inst), s AS (SELECT doc_id, sum(w) / 3 AS score FROM f JOIN trained t ON t.f = feature GROUP BY doc_id),
+average AS (SELECT doc_id, y, round(coalesce(score, 0), 6) AS score FROM inst LEFT JOIN s USING (doc_id)), by_score AS (SELECT score, sum(y) AS pos, count(*) - sum(y) AS neg FROM average GROUP BY score),
+ranked AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM by_score)
+SELECT round(100 * (1 - sum(pos * (below + neg / 2)) / (sum(pos)::DOUBLE * sum(neg))), 4) AS one_minus_roca FROM ranked""",
     "spam_score": f"{SCORES} SELECT doc_id, model_id, score, CASE WHEN score > 0 THEN 'spam' ELSE 'ham' END AS predicted FROM scores",
     "spam_ensemble_avg": f"{AVERAGE} SELECT * FROM average",
     "spam_ensemble_vote": f"{SCORES}, v AS (SELECT doc_id, sum(CASE WHEN score > 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS score FROM scores GROUP BY 1) SELECT doc_id, score, CASE WHEN score > 0 THEN 'spam' ELSE 'ham' END AS predicted FROM v",
