@@ -6,13 +6,16 @@ still a line (it counts in totals). Extra columns are ignored, whatever their na
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from millrace.functions.text import adjacent_pairs, head_terms, tokens
 from millrace.session import written
 
+#: Partners of a word in one row of its stripe.
+STRIPE = 1 << 16
+
 
 def token_counts(lines: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys..., n_tokens): tokens of each row."""
@@ -69,13 +72,21 @@ def pmi_pairs(lines: DataFrame, text: str, cap: int | None = 40, threshold: int
     return scored.select(F.inline(F.array(F.struct("left", "right", "pmi", "n"), F.struct(F.col("right").alias("left"), F.col("left").alias("right"), "pmi", "n"))))
 
 
-def pmi_stripes(pairs: DataFrame) -> DataFrame:
-    """(left, stripe): map of right to struct(pmi, n), keys ascending; one row per word with a partner.
+def _stripes(pairs: DataFrame, value: Column, most: int) -> DataFrame:
+    """(left, block, stripe) of pairs whose column `k` is the number of partners of the left word."""
+    block = F.pmod(F.xxhash64("right"), F.greatest(F.expr(f"(k + {most - 1}) div {most}"), F.lit(1))).cast("int")
+    entry = F.struct(F.col("right").alias("key"), value.alias("value"))
+    return pairs.groupBy("left", block.alias("block")).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("stripe"))
+
+
+def pmi_stripes(pairs: DataFrame, most: int = STRIPE) -> DataFrame:
+    """(left, block, stripe): map of right to struct(pmi, n), keys ascending, for each word with a partner.
 
-    A stripe holds as many entries as its word has partners, which a threshold keeps bounded.
+    A word of up to `most` partners is one row of block 0; the partners of others lie in blocks of about so many, by
+    the hash of the partner, so that no row and no task has all partners of a very common word.
     """
-    entry = F.struct(F.col("right").alias("key"), F.struct("pmi", "n").alias("value"))
-    return pairs.groupBy("left").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("stripe"))
+    k = pairs.groupBy("left").agg(F.count("*").alias("k"))
+    return _stripes(pairs.join(k, "left"), F.struct("pmi", "n"), most)
 
 
 def pmi_top(pairs: DataFrame, k: int, word: str | None = None) -> DataFrame:
@@ -86,18 +97,25 @@ def pmi_top(pairs: DataFrame, k: int, word: str | None = None) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _ratios(lines: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """(left, right, value, k) with the relative frequency and the left word's number of followers; (left, total, k)."""
+    pairs = _bigrams(lines, text).groupBy("left", "right").agg(F.count("*").alias("n"))
+    marginal = pairs.groupBy("left").agg(F.sum("n").alias("total"), F.count("*").alias("k"))
+    return pairs.join(marginal, "left").select("left", "right", (F.col("n") / F.col("total")).alias("value"), "k"), marginal
+
+
 def bigram_pairs(lines: DataFrame, text: str) -> DataFrame:
     """(left, right, value): relative frequency n(left, right) / n(left, *); rows with right = `*` hold n(left, *).
 
     The marginal comes from the pair counts, not from the lines, so it costs one small join on the left word.
     """
-    pairs = _bigrams(lines, text).groupBy("left", "right").agg(F.count("*").alias("n"))
-    marginal = pairs.groupBy("left").agg(F.sum("n").alias("total"))
-    ratios = pairs.join(marginal, "left").select("left", "right", (F.col("n") / F.col("total")).alias("value"))
-    return ratios.unionByName(marginal.select("left", F.lit("*").alias("right"), F.col("total").cast("double").alias("value")))
+    ratios, marginal = _ratios(lines, text)
+    return ratios.drop("k").unionByName(marginal.select("left", F.lit("*").alias("right"), F.col("total").cast("double").alias("value")))
 
 
-def bigram_stripes(lines: DataFrame, text: str) -> DataFrame:
-    """(left, stripe): map of follower to relative frequency, keys ascending, without the marginal."""
-    entry = F.struct(F.col("right").alias("key"), F.col("value"))
-    return bigram_pairs(lines, text).where(F.col("right") != "*").groupBy("left").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("stripe"))
+def bigram_stripes(lines: DataFrame, text: str, most: int = STRIPE) -> DataFrame:
+    """(left, block, stripe): map of follower to relative frequency, keys ascending, without the marginal.
+
+    A word of up to `most` followers is one row of block 0; those of others lie in blocks, as in `pmi_stripes`.
+    """
+    return _stripes(_ratios(lines, text)[0], F.col("value"), most)

@@ -87,3 +87,14 @@ def test_pmi_of_nothing(spark):
 def test_truncated(spark):
     df = lines(spark, "x" * 80, "y" * 81, None).select(truncated("line").alias("t"))
     assert [r["t"] for r in df.collect()] == ["x" * 80, "y" * 80 + "...", None]
+
+
+def test_stripes_of_common_words_lie_in_blocks(spark):
+    df = lines(spark, *[f"the w{chr(97 + i)}x" for i in range(20)], "a b")
+    rows = T.bigram_stripes(df, "line", 3).collect()
+    own = [r for r in rows if r["left"] == "the"]
+    assert 1 < len(own) <= 7 and {r["block"] for r in own} <= set(range(7))
+    assert sorted(k for r in own for k in r["stripe"]) == sorted(f"w{chr(97 + i)}x" for i in range(20))
+    assert [r["block"] for r in rows if r["left"] == "a"] == [0]
+    pairs = T.pmi_pairs(df, "line")
+    assert sum(len(r["stripe"]) for r in T.pmi_stripes(pairs, 3).collect()) == pairs.count()
