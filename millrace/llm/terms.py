@@ -64,11 +64,12 @@ def _flat(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
 
 
-def _split_counter(heavy: list[str]):
-    """Count heavy terms in two local arrays, emitted at a task's end; pass the rest on as (term, tf, 1) per record."""
-    names = pa.array(heavy, pa.string())
+def _split_counter(content):
+    """Count heavy terms (a broadcast list) in two local arrays, emitted at a task's end; pass the rest on counted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy: list[str] = content.value
+        names = pa.array(heavy, pa.string())
         occurrences, holders = np.zeros(len(heavy), np.int64), np.zeros(len(heavy), np.int64)
         fields = ["term", "n", "df", "heavy"]
         for batch in batches:
@@ -103,8 +104,9 @@ def term_frequencies(collection: Collection) -> DataFrame:
     task; only the rest is shuffled, counted per batch beforehand. The tasks emit both tables as one, their union, so a
     single pass over the records and one aggregation finish it. An empty collection gives no rows.
     """
-    ship(collection.records.sparkSession)
-    parts = collection.records.select("terms").mapInArrow(_split_counter(collection.heavy), "term string, n long, df long, heavy boolean")
+    spark = collection.records.sparkSession
+    ship(spark)
+    parts = collection.records.select("terms").mapInArrow(_split_counter(spark.sparkContext.broadcast(collection.heavy)), "term string, n long, df long, heavy boolean")
     return parts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"), F.max("heavy").alias("heavy"))
 
 

@@ -84,3 +84,11 @@ def test_frequent_items_behind_the_heavy_ones(spark, monkeypatch):
     monkeypatch.setattr(P, "HOT", 3)
     assert sorted(map(tuple, P.pair_counts(c, heavy=2, block=7).collect())) == want
     assert any(r[0] == long for r in want)
+
+
+def test_a_record_of_very_many_items_goes_out_in_slices():
+    n = most = 0
+    for a, b, c in P.record_pairs(np.arange(20_000)[::-1], P.SLICE):
+        assert len(a) == len(b) == len(c) and a[0] < b[0]
+        n, most = n + len(a), max(most, len(a))
+    assert n == 20_000 * 19_999 // 2 and most <= P.SLICE
