@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from millrace.session import written
+from millrace.session import discard, written
 
 #: A key of at least one in so many rows is hot.
 HOT = 4096
@@ -96,8 +96,9 @@ def percentiles(weighted: DataFrame, keys: list[str], value: str, percents: list
     """
     if not percents or not all(0 < p <= 100 for p in percents):
         raise ValueError(f"percents from 1 to 100 are needed, not {percents}")
-    ranged = weighted.where(_usable(value)).select(*keys, F.col(value).alias("_v"), "weight").repartitionByRange(*keys, "_v")
-    ranged = written(ranged.withColumn("_range", F.spark_partition_id()))
+    usable = written(weighted.where(_usable(value)).select(*keys, F.col(value).alias("_v"), "weight"))  # ranges are found by reading it once more
+    ranged = written(usable.repartitionByRange(*keys, "_v").withColumn("_range", F.spark_partition_id()))
+    discard(usable)
     own = W.partitionBy(*keys)
     sums = ranged.groupBy(*keys, "_range").agg(F.sum("weight").alias("s"))
     sums = sums.select("*", F.coalesce(F.sum("s").over(own.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("s").over(own).alias("n"))
