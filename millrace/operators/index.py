@@ -37,14 +37,17 @@ def build_index(posts: DataFrame, block: int = BLOCK) -> DataFrame:
     """(term, block, df, postings): posting lists ascending by doc_id, blocks 0, 1, ... of `block` postings or fewer.
 
     df counts the documents of the term, in every row of it. Blocks go by rank within the term, however ids are spaced.
-    A term of no more than `block` documents is one row by one aggregation. The lists of others are first laid out in
+    A term of no more than `block` documents is one row by one aggregation, and where all are, that is the whole way. The
+    lists of others are first laid out in
     ranges of (term, doc_id), so that the list of a term that stands in every document is spread over tasks; a block's
     number is the rank within its range plus what the ranges before hold.
     """
     posts = written(posts)
     df = written(posts.groupBy("term").agg(F.count("*").alias("df")))
     entry = F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("postings")
-    total = df.agg(F.sum("df")).first()[0] or 0
+    total, longest = (x or 0 for x in df.agg(F.sum("df"), F.max("df")).first())
+    if longest <= block:
+        return posts.groupBy("term").agg(F.count("*").alias("df"), entry).select("term", F.lit(0).cast("bigint").alias("block"), "df", "postings")
     sized = join_hot(posts, df.select("term", "df", F.col("df").alias("rows")), "term", "rows", total, F.col("doc_id"))
     short = sized.where(F.col("df") <= block).groupBy("term", F.lit(0).cast("bigint").alias("block"), "df").agg(entry)
     ranged = written(sized.where(F.col("df") > block).repartitionByRange("term", "doc_id").withColumn("part", F.spark_partition_id()))
