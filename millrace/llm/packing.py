@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -39,74 +40,97 @@ class Runs(NamedTuple):
 def fill_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Packing patterns (containers, [(length, times), ...]) that hold every item of the histogram once.
 
-    Shortest pack first: lengths are placed longest first, each time into the patterns with the most room; a pattern
+    Shortest pack first: lengths are placed longest first, each item into a container with the most room; a pattern
     whose containers are more than the items left is split. If none has room, new containers are opened that hold as
-    many items of the length as fit, so that a very common length doesn't open a container per item. Everything
-    depends on the number of lengths, not of items.
+    many items of the length as fit, so that a very common length doesn't open a container per item.
+
+    The items of a length are not gone through: they bring the largest rooms down to a level, which is looked for, and
+    a pattern takes its share of them at once. So a length adds two patterns and splits one at most, and a pattern
+    grows by an entry for each of its different lengths, however many items there are and however short.
     """
-    rooms: dict[int, list[tuple[int, tuple]]] = {}
-    order: list[int] = []  # rooms as negative numbers, with stale ones
+    rooms: dict[int, list] = {}  # [containers, [(containers, pattern), ...]] by room
+    order: list[int] = []  # the rooms as negative numbers
     done: list[tuple[int, tuple]] = []
 
     def add(containers: int, pattern: tuple, room: int) -> None:
         if room == 0:
             done.append((containers, pattern))
             return
-        if not rooms.get(room):
-            rooms[room] = []
+        if room not in rooms:
+            rooms[room] = [0, []]
             heapq.heappush(order, -room)
-        rooms[room].append((containers, pattern))
+        rooms[room][0] += containers
+        rooms[room][1].append((containers, pattern))
 
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         if not 0 < length <= capacity:
             raise ValueError(f"length {length} does not fit {capacity}")
-        while left > 0:
-            while order and not rooms.get(-order[0]):
-                heapq.heappop(order)
-            room = -order[0] if order else 0
-            if room >= length:
-                containers, pattern = rooms[room].pop()
-                used = min(containers, left)
-                if containers > used:
-                    rooms[room].append((containers - used, pattern))
-                add(used, (pattern, length, 1), room - length)
-                left -= used
-            else:
-                times = capacity // length
-                if left >= times:
-                    add(left // times, (None, length, times), capacity - times * length)
-                    left %= times
-                else:
-                    add(1, (None, length, left), capacity - left * length)
-                    left = 0
+        taken: list[tuple[int, int, list]] = []  # the largest rooms, in falling order
+
+        def places(level: int) -> int:
+            """Items placed until no room taken is above the level."""
+            return sum(n * -((level - room) // length) for room, n, _ in taken if room > level)  # noqa: B023
+
+        low = -order[0] if order else 0
+        while low >= length and places(low) < left:
+            for _ in range(len(taken) + 1):
+                if order and -order[0] >= length:
+                    room = -heapq.heappop(order)
+                    taken.append((room, *rooms.pop(room)))
+            low = max(-order[0] if order else 0, length - 1)
+        if taken:
+            level, high = low, taken[0][0]
+            while level < high:
+                middle = (level + high) // 2
+                level, high = (level, middle) if places(middle) <= left else (middle + 1, high)
+            left -= places(level)
+            for room, _, group in taken:
+                times = max(0, -((level - room) // length))
+                now = room - times * length
+                more = now == level >= length
+                while group and (times or more and left):
+                    containers, pattern = group.pop()
+                    used = min(containers, left) if more else 0
+                    left -= used
+                    if used:
+                        add(used, (pattern, (length, times + 1)), now - length)
+                    if containers > used:
+                        add(containers - used, (pattern, (length, times)) if times else pattern, now)
+                for containers, pattern in group:
+                    add(containers, pattern, now)
+        times = capacity // length
+        if left >= times:
+            add(left // times, (None, (length, times)), capacity - times * length)
+            left %= times
+        if left:
+            add(1, (None, (length, left)), capacity - left * length)
     out = []
-    for containers, pattern in done + [x for room in sorted(rooms) for x in rooms[room]]:
+    for containers, pattern in done + [x for room in sorted(rooms) for x in rooms[room][1]]:
         items: list[tuple[int, int]] = []
         while pattern is not None:
-            pattern, length, times = pattern
-            if items and items[-1][0] == length:
-                items[-1] = (length, items[-1][1] + times)
-            else:
-                items.append((length, times))
+            pattern, item = pattern
+            items.append(item)
         out.append((containers, items[::-1]))
     return out
 
 
 def lay_out(patterns: list[tuple[int, list[tuple[int, int]]]]) -> Runs:
     """Ranges of ranks per length for the patterns, sorted by length and rank; containers are numbered from 0."""
-    rows, next_rank, base = [], {}, 0
+    columns, next_rank, base = [array("q") for _ in Runs._fields], {}, 0
     for containers, items in patterns:
         slot = offset = 0
         for length, times in items:
             first = next_rank.get(length, 0)
             next_rank[length] = first + containers * times
-            rows.append((length, first, base, times, slot, offset))
+            for column, x in zip(columns, (length, first, base, times, slot, offset), strict=True):
+                column.append(x)
             slot += times
             offset += times * length
         base += containers
-    rows.sort()
-    return Runs(*(np.array(c, np.int64) for c in (zip(*rows, strict=True) if rows else [[]] * 6)))
+    runs = Runs(*(np.frombuffer(c, np.int64) for c in columns))
+    by_rank = np.lexsort((runs.first, runs.length))
+    return Runs(*(c[by_rank] for c in runs))
 
 
 def _place(runs: dict[int, Runs]):

@@ -1,4 +1,6 @@
+import heapq
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import pytest
@@ -35,6 +37,42 @@ def test_common_length_opens_no_container_per_item():
     assert sum(n for n, _ in P.fill_patterns({100: 10**12, 7: 3}, 512)) == 2 * 10**11
 
 
+def one_by_one(histogram, capacity):
+    """Loads of the containers when each item is placed by itself, the longest first, where most room is."""
+    rooms = []
+    for length in sorted(histogram, reverse=True):
+        left = histogram[length]
+        while left:
+            if rooms and -rooms[0] >= length:
+                heapq.heapreplace(rooms, rooms[0] + length)
+                left -= 1
+            else:
+                held = min(left, capacity // length)
+                heapq.heappush(rooms, held * length - capacity)
+                left -= held
+    return sorted(capacity + r for r in rooms)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 60), max_size=40), st.integers(40, 90))
+def test_loads_are_those_of_items_placed_one_by_one(histogram, capacity):
+    patterns = P.fill_patterns(histogram, capacity)
+    loads = [sum(length * times for length, times in items) for n, items in patterns for _ in range(n)]
+    assert sorted(loads) == one_by_one(histogram, capacity)
+
+
+def test_memory_depends_on_lengths_not_on_places():
+    """Half a million places for a very common short length, in containers of a thousand different rooms."""
+    histogram = {length: 1 for length in range(1025, 2049)} | {1: 10**9}
+    tracemalloc.start()
+    patterns = P.fill_patterns(histogram, 2048)
+    P.lay_out(patterns)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n * t for n, items in patterns for length, t in items if length == 1) == 10**9
+    assert peak < 4_000_000
+
+
 def test_wrong_lengths_are_refused():
     for bad in ({0: 1}, {9: 1}):
         with pytest.raises(ValueError):
